@@ -11,6 +11,7 @@ origin, ordered, checked against the total length, and decoded.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -94,6 +95,8 @@ def revisit_record(record_id: str, uri: str, refers_to: str, digest: str, length
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record, by the lengths that records state."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         if archive[at : at + 5] != b"WARC/":
@@ -109,10 +112,13 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def write_archive(records: DataFrame, column: str, path: str, total_bytes: int) -> None:
-    """Write a string column of records as .warc text, dealt over files of about ARCHIVE_BYTES."""
-    files = max(1, -(-int(total_bytes) // ARCHIVE_BYTES))
-    records.select(F.col(column).alias("value")).repartition(files).write.option("lineSep", END.decode()).text(path)
+def write_archive(records: DataFrame, column: str, path: str, mean_bytes: float) -> None:
+    """Write a string column of records as gzipped .warc text, in files of about ARCHIVE_BYTES before compression.
+
+    The records stay in the partitions that they are in: no shuffle only for the files' sizes.
+    """
+    most = max(1, int(ARCHIVE_BYTES / max(1.0, mean_bytes)))
+    records.select(F.col(column).alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -238,8 +244,8 @@ def archive_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
 
     made = responses.select(name("page_id").alias("id"), "uri", "payload", "digest").mapInPandas(as_responses, "record binary")
     seen = revisits.select(F.concat(name("page_id"), F.lit(":r"), F.col("copy").cast("string")).alias("id"), "uri", name("refers_to").alias("to"), "digest", "length").mapInPandas(as_revisits, "record binary")
-    total = base.agg(F.sum("length").alias("b")).first()["b"] or 0
-    write_archive(made.unionByName(seen).select(F.col("record").cast("string").alias("record")), "record", path, total)
+    mean = base.agg(F.avg("length").alias("b")).first()["b"] or 0.0
+    write_archive(made.unionByName(seen).select(F.col("record").cast("string").alias("record")), "record", path, mean + 1024)
 
 
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
