@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "mixing", "topk", "secrets", "warc", "jaccard", "neardup"]
+MODULES = ["sharding", "mixing", "topk", "secrets", "warc", "jaccard", "neardup", "toxicity"]
 
 
 def load() -> tuple[dict, dict]:
