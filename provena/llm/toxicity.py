@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes at most MAX_TOXIC and MAX_CLEAN labelled rows, those with the smallest hash of
-their ids. Terms are words and five-letter word heads; those that tell the classes apart with
+their ids. Terms are words and word heads of HEADS letters; those that tell the classes apart with
 significance, at most MAX_TERMS, are indexed with weights tf * idf, cosine-normed. The index is
 then of bounded size and is broadcast; scoring is one pass over whole texts without a shuffle.
 A query's examples come block by block in falling order of their score's upper bound, from the
@@ -35,7 +35,7 @@ BLOCK = 64
 SUPPORT = 3
 RATIO = 5.0
 SIGNIFICANT = 5.0
-HEAD = 5
+HEADS = (4, 5, 6, 7)
 #: Similarity that the prior counts as, among a query's neighbours.
 PRIOR_MASS = 0.25
 HELD_OUT = 5
@@ -48,8 +48,9 @@ def terms(text: str | None) -> Counter:
     words = Counter(WORD.findall(text.lower())) if text else Counter()
     heads: Counter = Counter()
     for w, n in words.items():
-        if len(w) > HEAD:
-            heads[w[:HEAD] + "~"] += n
+        for k in HEADS:
+            if len(w) > k:
+                heads[w[:k] + "~"] += n
     words.update(heads)
     return words
 
