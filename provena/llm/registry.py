@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "mixing", "topk", "secrets", "warc", "jaccard", "neardup", "toxicity", "sentencepiece_codec"]
+MODULES = ["sharding", "mixing", "topk", "secrets", "warc", "jaccard", "neardup", "toxicity", "sentencepiece_codec", "html_text"]
 
 
 def load() -> tuple[dict, dict]:
