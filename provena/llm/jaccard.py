@@ -374,6 +374,22 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return some.unionByName(none)
 
 
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one row of each component of near copies: the one with the smallest doc_id.
+
+    Rows that repeat an id stand or fall together, but of equal texts with one id only one stays.
+    Only the ids that go are joined to the texts, not those that stay.
+    """
+    found = link(docs.select("doc_id", "text"), width, num, den)
+    by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"), F.count("*").alias("rows"))
+    by_id = scratch.materialize(by_id, "kept_ids")
+    gone = by_id.where("not first").select(F.col("doc_id").alias("gone_id"))
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    again = by_id.where("first and rows > 1").select(F.col("doc_id").alias("again_id"))
+    single = stay.join(again, stay["doc_id"].eqNullSafe(again["again_id"]), "left_anti")
+    return single.unionByName(stay.join(again, stay["doc_id"].eqNullSafe(again["again_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of three-word shingles are at least 0.9 alike."""
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 90, 100)

@@ -60,20 +60,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     return df.select("__source", "source_size", F.least(F.col("__cap").cast("double"), level * F.col("__w")).alias("target"))
 
 
-def mix(df: DataFrame, source: Column, size: Column, identity: Column, quality: Column, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(df: DataFrame, source: Column, size: Column, identity: Column, quality: Column, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: bool = True) -> DataFrame:
     """``df`` with source_size, target, copies (whole ones, int), part (words of one more, long) and taken (long).
 
     Every row stays; a row the mix leaves out has taken = 0. The document that the budget ends in
     gives its first ``part`` words. Null sources are a source of their own, sizes of null count
     as 0, weights of null as 1; repeated rows are rows of their own; an empty table gives none.
-    ``df`` should be narrow: it is written to the shared folder. Its columns must not start with __.
+    With ``keep`` the table is written to the shared folder once, so it should be narrow; without,
+    it is read three times, and texts may ride along. Its columns must not start with __.
     """
     weight = F.coalesce(quality.cast("double"), F.lit(1.0))
     key = exponential_key(identity, weight, seed)
     names = df.columns
     base = df.select(*[F.col(f"`{c}`") for c in names], source.alias("__source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("__size"), key.alias("__key"), identity.alias("__id"))
     bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int"))
-    base = scratch.materialize(base.withColumn("__bucket", bucket), "mix_base")
+    base = base.withColumn("__bucket", bucket)
+    if keep:
+        base = scratch.materialize(base, "mix_base")
     sums = base.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum"))
     goal = targets(sums.groupBy("__source").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
     some = F.col("source_size") > 0
@@ -111,6 +114,23 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(F.col("doc_id").alias("__doc"), weight.alias("__quality"))
 
 
+def plain_quality(text: Column, size: Column) -> Column:
+    """A sampling weight without labels: documents whose words have an ordinary mean length weigh QUALITY[1], others QUALITY[0]."""
+    mean = F.length(text) / F.greatest(size, F.lit(1))
+    return F.when(mean.between(3.0, 14.0), F.lit(QUALITY[1])).otherwise(F.lit(QUALITY[0]))
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of the mix: each document as often as the mix takes it whole, with the columns of ``docs``.
+
+    Documents stay whole: the one that a source's budget ends in is taken if at least half of it fits.
+    """
+    names = docs.columns
+    out = mix(docs.withColumn("mix_words", word_count(F.col("text"))), F.col("source"), F.col("mix_words"), F.col("doc_id"), plain_quality(F.col("text"), F.col("mix_words")), keep=False)
+    times = F.col("copies") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("mix_words")), 1).otherwise(0)
+    return out.where(times > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in names])
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with the words that a mix of the sources takes of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))

@@ -207,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     return build(bags, ys, (counts.get(0, 0), counts.get(1, 0)))
 
 
-def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = False) -> DataFrame:
-    """``docs`` with toxicity (double, 0 to 1) and, if asked, evidence (its nearest examples' labels and cosines).
+def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = False, into: str = "toxicity") -> DataFrame:
+    """``docs`` with a score (double, 0 to 1) in column ``into`` and, if asked, evidence (its nearest examples' labels and cosines).
 
     Whole texts are read. Null and empty texts, and those with no indexed term, get the score of
     the prior. Other columns pass as they are.
@@ -232,9 +232,9 @@ def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = Fa
             yield pd.DataFrame({"score": out, "evidence": why}) if evidence else pd.Series(out)
 
     if not evidence:
-        return docs.withColumn("toxicity", scored(F.col(f"`{text}`")))
+        return docs.withColumn(into, scored(F.col(f"`{text}`")))
     out = docs.withColumn("__t", scored(F.col(f"`{text}`")))
-    return out.withColumn("toxicity", F.col("__t.score")).withColumn("evidence", F.col("__t.evidence")).drop("__t")
+    return out.withColumn(into, F.col("__t.score")).withColumn("evidence", F.col("__t.evidence")).drop("__t")
 
 
 def crc_held_out(doc_id: int) -> bool:
