@@ -29,9 +29,10 @@ from provena.llm import batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments and neighbour pairs that a worker remembers; it forgets all beyond that.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Rows of a matrix that advance together.
 ROWS = 8192
+SLICE_CHARS = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _UNIGRAM, _MERGES = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -216,7 +217,19 @@ class Codec:
         return np.array(out, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each whole text."""
+        """Ids of each whole text; texts of about SLICE_CHARS together are cut into segments at a time."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
+                size += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         m = self.model
         cut = [m.segment.findall((MARK if m.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > MEMORY:
@@ -259,27 +272,32 @@ def _worker(shared) -> Codec:
     return model._codec
 
 
-def encode(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, model: Model, text: str = "text", verify: bool = False) -> DataFrame:
     """``df`` with ``ids`` (array of int) in place of any such column; null texts get null, empty ones no ids.
 
-    Repeated rows are encoded each; other columns pass as they are. A pass without a shuffle; the
-    model, of the file's size, is broadcast.
+    ``verify`` adds ``round_trip`` (boolean): the ids decode to the text again. Repeated rows are
+    encoded each; other columns pass as they are. A pass without a shuffle; the model, of the
+    file's size, is broadcast.
     """
     batches.bound(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker(shared)
         for part in parts:
             texts = part.to_pylist()
+            none = pa.array([t is None for t in texts])
             ids = codec.encode([t or "" for t in texts])
+            same = [t is None or codec.decode(x) == t for t, x in zip(texts, ids, strict=True)] if verify else [None] * len(ids)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
-            yield pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([t is None for t in texts]))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=none)
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
-    return df.withColumn("ids", encoded(F.col(f"`{text}`")))
+    out = df.drop("ids").withColumn("__e", encoded(F.col(f"`{text}`"))).withColumn("ids", F.col("__e.ids"))
+    return (out.withColumn("round_trip", F.col("__e.round_trip")) if verify else out).drop("__e")
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
@@ -299,9 +317,8 @@ def decode(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
     """Every document's ids, and whether decoding them gives its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = load(model_path)
-    out = decode(encode(docs, model), model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = encode(docs, load(model_path), verify=True)
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 QUERIES = {"op7_sentencepiece": op7_sentencepiece}
