@@ -28,8 +28,9 @@ from provena.llm import batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Segments and neighbour pairs that a worker remembers; it forgets all beyond that.
-MEMORY = 200_000
+#: Segments that a worker remembers; beyond that it forgets all. Places for pairs of neighbours that it remembers.
+MEMORY = 250_000
+PAIRS = 1 << 20
 #: Rows of a matrix that advance together.
 ROWS = 8192
 SLICE_CHARS = 1 << 20
@@ -73,6 +74,8 @@ class Model:
             raise ValueError("two pieces share a hash")
         by = np.argsort(keys)
         self.keys, self.ids = keys[by], np.array(normal)[by]
+        self.some = np.zeros(1 << 20, bool)  # leading bits of the keys: most substrings are no piece, and need no search
+        self.some[self.keys >> np.uint64(44)] = True
         self.by_text = {self.pieces[i]: i for i in normal}
         crossing = re.compile(f"[^{MARK}]{MARK}")
         if any(crossing.search(self.pieces[i]) for i in normal):
@@ -93,8 +96,12 @@ class Model:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids by hash; -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+        out = np.full(hashes.shape, -1, np.int64)
+        maybe = np.nonzero(self.some[hashes >> np.uint64(44)])
+        wanted = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == wanted, self.ids[at], -1)
+        return out
 
     def merged(self, text: str) -> list[str]:
         """The merges' result on a short text: the best-scored neighbours join first, the left ones on ties."""
@@ -136,76 +143,84 @@ class Codec:
     """Encoding and decoding with memory of segments and neighbours; one for each worker."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.allowed = model, {}, {}
+        self.model, self.known = model, {}
+        self.pairs = np.full(PAIRS, -1, np.int64)  # neighbours by a hash's place, the last that came there
+        self.answers = np.zeros(PAIRS, bool)
 
     def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging leaves the neighbours as they are. Ids; -1: an unknown character, -2: the text's start."""
         n = len(self.model.pieces) + 2
-        keys, back = np.unique((left + 2) * n + (right + 2), return_inverse=True)
-        if len(self.allowed) > 2 * MEMORY:
-            self.allowed.clear()
-        out = np.ones(len(keys), bool)
-        for i, key in enumerate(keys.tolist()):
-            a, b = key // n - 2, key % n - 2
-            if a == -1 or b == -1:
-                continue
-            ok = self.allowed.get(key)
-            if ok is None:
-                pieces = [self.model.pieces[x] for x in (a, b) if x >= 0]
-                ok = self.allowed[key] = self.model.merged("".join(pieces)) == pieces
-            out[i] = ok
-        return out[back]
-
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length; unknown characters as -1 - code point."""
+        keys = (left + 2) * n + (right + 2)
+        place = (_mixed(keys.view(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pairs[place] != keys)
+        out = self.answers[place]
+        if len(new):
+            names, back = np.unique(keys[new], return_inverse=True)
+            found = np.ones(len(names), bool)
+            for i, key in enumerate(names.tolist()):
+                a, b = key // n - 2, key % n - 2
+                if a != -1 and b != -1:
+                    pieces = [self.model.pieces[x] for x in (a, b) if x >= 0]
+                    found[i] = self.model.merged("".join(pieces)) == pieces
+            out[new] = found[back]
+            place = place[new]
+            self.pairs[place], self.answers[place] = keys[new], found[back]
+            # Two new neighbours may share a place: what stands there must be a pair and its own answer.
+            self.answers[place] = found[np.searchsorted(names, self.pairs[place])]
+        return out
+
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, as 32-bit integers."""
         m = self.model
         points = _code_points(words)
         rows, length = points.shape
         merges = m.kind == _MERGES
-        found = {n: m.find(m.hashes(points, n)) for n in m.lengths if n <= length}
+        found = {n: m.find(m.hashes(points, n)) for n in reversed(m.lengths) if n <= length}
         penalty = float(m.scores[m.ids].min()) - 10
         best = np.full((rows, length + 1), -np.inf)
         best[:, 0] = 0
         last = np.full((rows, length + 1), -2, np.int64)  # the piece that ends here; -1: an unknown character
-        back = np.zeros((rows, length + 1), np.int32)
-        every = np.arange(rows)
+        back = np.zeros((rows, length + 1), np.int64)
+        known_char = found[1] >= 0 if 1 in found else np.zeros(points.shape, bool)
         for end in range(1, length + 1):
-            options = []
             for n in (n for n in found if n <= end):
                 ids = found[n][:, end - n]
-                value = np.full(rows, -np.inf)
-                some = np.flatnonzero((ids >= 0) & (best[:, end - n] > -np.inf))
-                if len(some):
-                    if merges:
-                        some = some[self._allowed(last[some, end - n], ids[some])]
-                        value[some] = 1.0
-                    else:
-                        value[some] = best[some, end - n] + m.scores[ids[some]]
-                options.append((n, ids, value))
-            single = found[1][:, end - 1] if 1 in found else np.full(rows, -1)
-            value = np.where((single < 0) & (best[:, end - 1] > -np.inf), 1.0 if merges else best[:, end - 1] + penalty, -np.inf)
-            options.append((1, np.full(rows, -1), value))
-            values = np.stack([v for _, _, v in options])
-            pick = values.argmax(axis=0)
-            best[:, end] = values[pick, every]
-            last[:, end] = np.stack([i for _, i, _ in options])[pick, every]
-            back[:, end] = np.array([n for n, _, _ in options])[pick]
-        if (best[:, length] == -np.inf).any():
+                if merges:  # one candidate is allowed: rows that have theirs need no other
+                    some = np.flatnonzero((ids >= 0) & (back[:, end] == 0))
+                    some = some[self._allowed(last[some, end - n], ids[some])]
+                    value = 1.0
+                else:
+                    some = np.flatnonzero(ids >= 0)
+                    value = best[some, end - n] + m.scores[ids[some]]
+                    better = value > best[some, end]
+                    some, value = some[better], value[better]
+                best[some, end], last[some, end], back[some, end] = value, ids[some], n
+            lone = np.flatnonzero(~known_char[:, end - 1])
+            value = 1.0 if merges else best[lone, end - 1] + penalty
+            if merges:
+                lone = lone[back[lone, end] == 0]
+            else:
+                better = value > best[lone, end]
+                lone, value = lone[better], value[better]
+            best[lone, end], last[lone, end], back[lone, end] = value, -1, 1
+        if (back[:, 1:] == 0).any():
             raise ValueError("a segment has no path")
-        out = []
-        for r in range(rows):
-            ids, end = [], length
-            while end:
-                k = int(last[r, end])
-                ids.append(k if k >= 0 else -1 - int(points[r, end - 1]))
-                end -= int(back[r, end])
-            out.append(ids[::-1])
-        return out
-
-    def _finish(self, ids: list[int]) -> bytes:
-        """Unknown characters as byte pieces, or the unknown piece for each run of them."""
-        if all(i >= 0 for i in ids):
-            return np.array(ids, np.int32).tobytes()
+        # Backpointers of all rows are followed together, from the right.
+        path = np.full((rows, length), 0, np.int64)
+        at, step, every = np.full(rows, length), 0, np.arange(rows)
+        counts = np.zeros(rows, np.int64)
+        while (at > 0).any():
+            step += 1
+            ids, more = last[every, at], at > 0
+            path[:, length - step] = np.where(ids >= 0, ids, np.where(more, -1 - points[every, np.maximum(at - 1, 0)].astype(np.int64), 0))
+            counts += more
+            at = at - back[every, at]
+        odd = (path < 0).any(axis=1)
+        narrow = path.astype(np.int32)
+        return [self._spelt(path[r, length - c :].tolist()) if o else narrow[r, length - c :].tobytes() for r, c, o in zip(every.tolist(), counts.tolist(), odd.tolist(), strict=True)]
+
+    def _spelt(self, ids: list[int]) -> bytes:
+        """Unknown characters (-1 - code point) as byte pieces, or the unknown piece for each run of them."""
         out: list[int] = []
         for i, k in enumerate(ids):
             if k >= 0:
@@ -241,8 +256,7 @@ class Codec:
             step = max(1, min(ROWS, (1 << 20) // len(words[0])))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
-                for w, ids in zip(part, self._viterbi(part), strict=True):
-                    self.known[w] = self._finish(ids)
+                self.known.update(zip(part, self._viterbi(part), strict=True))
         return [np.frombuffer(b"".join([self.known[s] for s in segments]), np.int32) for segments in cut]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
