@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,8 @@ MEMORY = 250_000
 PAIRS = 1 << 20
 #: Rows of a matrix that advance together.
 ROWS = 8192
-SLICE_CHARS = 1 << 20
+#: Characters whose segments are held at a time; more make longer matrices, and fewer steps.
+SLICE_CHARS = 4 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _UNIGRAM, _MERGES = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -77,6 +79,9 @@ class Model:
         self.some = np.zeros(1 << 20, bool)  # leading bits of the keys: most substrings are no piece, and need no search
         self.some[self.keys >> np.uint64(44)] = True
         self.by_text = {self.pieces[i]: i for i in normal}
+        # Pieces that stand for their own text: all but the unknown piece and bytes above ASCII.
+        self.odd = np.array([t == _UNKNOWN or (t == _BYTE and int(p[1:-1], 16) > 127) for p, t in zip(self.pieces, self.types, strict=True)])
+        self.plain = [p.replace(MARK, " ") if t == _NORMAL else chr(int(p[1:-1], 16)) if t == _BYTE else "" for p, t in zip(self.pieces, self.types, strict=True)]
         crossing = re.compile(f"[^{MARK}]{MARK}")
         if any(crossing.search(self.pieces[i]) for i in normal):
             raise ValueError("a piece crosses a word's start")
@@ -250,19 +255,24 @@ class Codec:
         if len(self.known) > MEMORY:
             self.known.clear()
         by_length: dict[int, list[str]] = {}
-        for s in {s for segments in cut for s in segments if s not in self.known}:
+        for s in set(chain.from_iterable(cut)).difference(self.known):
             by_length.setdefault(len(s), []).append(s)
         for words in by_length.values():
             step = max(1, min(ROWS, (1 << 20) // len(words[0])))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
                 self.known.update(zip(part, self._viterbi(part), strict=True))
-        return [np.frombuffer(b"".join([self.known[s] for s in segments]), np.int32) for segments in cut]
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, segments)), np.int32) for segments in cut]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; byte pieces that are no UTF-8 become replacement characters."""
         m, out, held = self.model, [], bytearray()
-        for i in ids:
+        ids = np.asarray(ids, np.int64)
+        if not m.odd[ids].any():
+            text = "".join(map(m.plain.__getitem__, ids.tolist()))
+            return text[1:] if m.dummy_prefix and text.startswith(" ") else text
+        for i in ids.tolist():
             t = m.types[i]
             if t == _BYTE:
                 held.append(int(m.pieces[i][1:-1], 16))
