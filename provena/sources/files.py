@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from provena.sources.schemas import DEFAULT, EXIF
 
 #: What uploads may be.
-IMAGES = ("jpg", "jpeg", "png", "bmp", "webp")
-DOCUMENTS = ("pdf", "png", "jpg", "jpeg", "bmp", "tif", "tiff")
+IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif")
+DOCUMENTS = (*IMAGES, "pdf")
 #: EXIF tag numbers that the checks read.
 EXIF_TAGS = {0x0131: "Software", 0x0132: "DateTime", 0x9003: "DateTimeOriginal"}
 
