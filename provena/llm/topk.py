@@ -112,7 +112,7 @@ def scorer(k: int):
         from pyspark import TaskContext
 
         group = TaskContext.get().partitionId() % GROUPS
-        least = np.iinfo(np.int64).min
+        least = -np.iinfo(np.int64).max  # its negative fits as well
         held: dict[bytes, tuple] = {}
 
         def rows(block: bytes) -> pa.RecordBatch:
