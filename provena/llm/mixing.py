@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from provena.llm import scratch
 
 BUCKETS = 4096
+#: Tables of up to so many sources are broadcast (about 100 bytes a source); beyond that the join shuffles.
+BROADCAST_SOURCES = 50_000
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 #: Sampling weight of a document by its quality label; UNLABELLED has those without one.
@@ -90,6 +92,9 @@ def mix(df: DataFrame, source: Column, size: Column, identity: Column, quality:
         F.max(F.when(F.col("__start") <= F.col("__budget"), F.struct("__bucket", "__start"))).alias("__end"),
     )
     end = end.select(F.col("__source").alias("__s"), "source_size", "target", "__epochs", "__budget", F.col("__end.__bucket").alias("__last"), F.col("__end.__start").alias("__start"))
+    end = scratch.materialize(end, "mix_sources")
+    if end.count() <= BROADCAST_SOURCES:
+        end = F.broadcast(end)
     rows = base.join(end, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     before = W.partitionBy("__source").orderBy("__key", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
     left = F.col("__budget") - F.col("__start") - F.coalesce(F.sum("__size").over(before), F.lit(0))
