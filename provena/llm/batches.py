@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch, unless the session sets its own bound. A single longer row is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound(spark: SparkSession) -> None:

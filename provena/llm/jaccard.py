@@ -31,8 +31,8 @@ SLOTS = 1 << 20
 SEGMENTS = 64
 CHUNK = 1024
 #: Prefix entries of one task, about, and of one flush of a task that makes them.
-LIST_ENTRIES = 1_000_000
-FLUSH_ENTRIES = 1 << 19
+LIST_ENTRIES = 400_000
+FLUSH_ENTRIES = 1 << 18
 
 FACTS = "kind int, doc_id long, n long, uid long, segment int, counts binary"
 ENTRIES = "part int, tokens binary, uids binary, sizes binary, places binary"
