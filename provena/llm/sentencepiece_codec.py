@@ -30,7 +30,7 @@ from provena.llm import batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments that a worker remembers; beyond that it forgets all. Places for pairs of neighbours that it remembers.
-MEMORY = 250_000
+MEMORY = 450_000
 PAIRS = 1 << 20
 #: Rows of a matrix that advance together.
 ROWS = 8192
@@ -71,11 +71,15 @@ class Model:
         keys = np.zeros(len(normal), np.uint64)
         of = {n: [k for k, i in enumerate(normal) if len(self.pieces[i]) == n] for n in self.lengths}
         for n, own in of.items():
-            keys[own] = self.hashes(_code_points([self.pieces[normal[k]] for k in own]), n)[:, 0]
+            for _, hashed in self.hashes(_code_points([self.pieces[normal[k]] for k in own]), n):
+                keys[own] = hashed[:, 0]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
         by = np.argsort(keys)
         self.keys, self.ids = keys[by], np.array(normal)[by]
+        self.starts = np.searchsorted(self.keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+        self.longest = int(np.diff(np.append(self.starts, len(self.keys))).max()) + 1
+        self.starts = np.minimum(self.starts, len(self.keys) - 1)
         self.some = np.zeros(1 << 20, bool)  # leading bits of the keys: most substrings are no piece, and need no search
         self.some[self.keys >> np.uint64(44)] = True
         self.by_text = {self.pieces[i]: i for i in normal}
@@ -91,21 +95,29 @@ class Model:
         self.segment = re.compile((rf"{MARK}*[^\W\d_]+(?=[{ends}])|" if ends else "") + f"{MARK}*[^{MARK}{self.breaks}]+|{MARK}+" + (f"|[{self.breaks}]" if self.breaks else ""))
 
     @staticmethod
-    def hashes(points: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of all substrings of n code points of each row."""
-        width = points.shape[1] - n + 1
-        out = np.full((len(points), width), n, np.uint64)
-        for k in range(n):
-            out = out * _FACTOR + _mixed(points[:, k : k + width] + np.uint64(1))
-        return _mixed(out)
+    def hashes(points: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, hashes of all substrings of n code points of each row) for n from 1; each from the shorter ones."""
+        mixed = _mixed(points + np.uint64(1))
+        out = np.zeros_like(mixed)
+        for n in range(1, min(most, points.shape[1]) + 1):
+            width = points.shape[1] - n + 1
+            out = out[:, :width] * _FACTOR + mixed[:, n - 1 :]
+            yield n, _mixed(out + np.uint64(n))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece ids by hash; -1 where there is none."""
+        """Piece ids by hash; -1 where there is none. Leading bits tell where in the sorted keys a search starts, and few keys share them."""
         out = np.full(hashes.shape, -1, np.int64)
-        maybe = np.nonzero(self.some[hashes >> np.uint64(44)])
-        wanted = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == wanted, self.ids[at], -1)
+        rows, cols = np.nonzero(self.some[hashes >> np.uint64(44)])
+        wanted = hashes[rows, cols]
+        at = self.starts[(wanted >> np.uint64(48)).astype(np.int64)]
+        for _ in range(self.longest):
+            key = self.keys[at]
+            hit = key == wanted
+            out[rows[hit], cols[hit]] = self.ids[at[hit]]
+            on = np.flatnonzero(key < wanted)
+            rows, cols, wanted, at = rows[on], cols[on], wanted[on], np.minimum(at[on] + 1, len(self.keys) - 1)
+            if not len(on):
+                break
         return out
 
     def merged(self, text: str) -> list[str]:
@@ -180,7 +192,8 @@ class Codec:
         points = _code_points(words)
         rows, length = points.shape
         merges = m.kind == _MERGES
-        found = {n: m.find(m.hashes(points, n)) for n in reversed(m.lengths) if n <= length}
+        found = {n: m.find(h) for n, h in m.hashes(points, m.lengths[-1]) if n in m.lengths}
+        found = dict(reversed(found.items()))
         penalty = float(m.scores[m.ids].min()) - 10
         best = np.full((rows, length + 1), -np.inf)
         best[:, 0] = 0
