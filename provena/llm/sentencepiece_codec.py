@@ -14,6 +14,7 @@ prefix, so the same recursion finds it exactly. Unknown characters become byte p
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,7 @@ from provena.llm import batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments that a worker remembers; beyond that it forgets all. Places for pairs of neighbours that it remembers.
-MEMORY = 450_000
+MEMORY = 350_000
 PAIRS = 1 << 20
 #: Rows of a matrix that advance together.
 ROWS = 8192
@@ -61,6 +62,7 @@ class Model:
     dummy_prefix: bool
     unknown: int
     bytes_at: list[int]
+    digest: str
     keys: np.ndarray = field(default=None)
     ids: np.ndarray = field(default=None)
     lengths: list[int] = field(default=None)
@@ -141,7 +143,8 @@ def load(path: str = MODEL) -> Model:
 
     proto = pb.ModelProto()
     with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
+        data = f.read()
+    proto.ParseFromString(data)
     norm = proto.normalizer_spec
     if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
         raise ValueError("only models with the identity normalizer are supported")
@@ -153,6 +156,7 @@ def load(path: str = MODEL) -> Model:
     return Model(
         proto.trainer_spec.model_type, pieces, np.array([p.score for p in proto.pieces]), types, norm.add_dummy_prefix,
         types.index(_UNKNOWN), [at[f"<0x{b:02X}>"] for b in range(256)] if proto.trainer_spec.byte_fallback else [],
+        hashlib.sha1(data).hexdigest(),
     )
 
 
@@ -301,12 +305,14 @@ class Codec:
         return text[1:] if m.dummy_prefix and text.startswith(" ") else text
 
 
+_latest: list[Codec] = []
+
+
 def _worker(shared) -> Codec:
-    """This worker's codec for a broadcast model; its memory lasts as long as the worker."""
-    model = shared.value
-    if getattr(model, "_codec", None) is None:
-        model._codec = Codec(model)
-    return model._codec
+    """This worker's codec: one, for the model that it used last, whichever broadcast brought it."""
+    if not _latest or _latest[0].model.digest != shared.value.digest:
+        _latest[:] = [Codec(shared.value)]
+    return _latest[0]
 
 
 def encode(df: DataFrame, model: Model, text: str = "text", verify: bool = False) -> DataFrame:
