@@ -158,8 +158,18 @@ def needed(names: list[str]) -> list[str]:
     return out
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view over the Parquet tables of a folder."""
+    """One view over the Parquet tables of a folder; analysed once for a session and folder."""
+    key = (spark.sparkContext.applicationId, spark, sf_dir, name)
+    if key not in _made:
+        _made[key] = _view(spark, sf_dir, name)
+    return _made[key]
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     reads, sql = VIEWS[name]
