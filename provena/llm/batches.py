@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import SparkSession
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch, unless the session sets its own bound. A single longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound(spark: SparkSession) -> None:
@@ -14,3 +16,11 @@ def bound(spark: SparkSession) -> None:
     if not getattr(spark, "_provena_bounded", False):
         spark.conf.set(KEY, str(BATCH_BYTES))
         spark._provena_bounded = True
+
+
+def trim() -> None:
+    """Give memory that a finished task's arrays had back to the system; Python workers outlive their tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back
+        pass

@@ -86,6 +86,7 @@ def first_pass(width: int):
         if some:
             cut = [np.minimum(c, 2**32 - 1).astype("<u4").tobytes() for c in np.split(counts, SEGMENTS)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), *[none(SEGMENTS, pa.int64())] * 3, pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(cut, pa.binary())], ["kind", "doc_id", "n", "uid", "segment", "counts"])
+        batches.trim()
 
     return run
 
@@ -127,7 +128,7 @@ def second_pass(width: int, num: int, den: int, order, parts_n: int):
                 uid = set_id(s)
                 if not n or uid in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(uid)
                 k = n - -(-num * n // den) + 1
@@ -144,6 +145,7 @@ def second_pass(width: int, num: int, den: int, order, parts_n: int):
                     held, size = [], 0
         if held:
             yield flush()
+        batches.trim()
 
     return run
 
@@ -191,6 +193,7 @@ def candidate_classes(num: int, den: int):
         if a:
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        batches.trim()
 
     return run
 
@@ -300,6 +303,7 @@ def solver(num: int, den: int):
             out += solve(rows)
         if out:
             yield made()
+        batches.trim()
 
     return run
 

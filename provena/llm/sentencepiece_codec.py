@@ -31,12 +31,12 @@ from provena.llm import batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments that a worker remembers; beyond that it forgets all. Places for pairs of neighbours that it remembers.
-MEMORY = 350_000
-PAIRS = 1 << 20
+MEMORY = 200_000
+PAIRS = 1 << 19
 #: Rows of a matrix that advance together.
 ROWS = 8192
 #: Characters whose segments are held at a time; more make longer matrices, and fewer steps.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 3 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _UNIGRAM, _MERGES = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -338,6 +338,7 @@ def encode(df: DataFrame, model: Model, text: str = "text", verify: bool = False
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
             lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=none)
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+        batches.trim()
 
     out = df.drop("ids").withColumn("__e", encoded(F.col(f"`{text}`"))).withColumn("ids", F.col("__e.ids"))
     return (out.withColumn("round_trip", F.col("__e.round_trip")) if verify else out).drop("__e")

@@ -173,10 +173,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where("text is not null")
 
     def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, ys, words, counts = [], [], [], []
+        table = lambda: pd.DataFrame({"doc_id": ids, "toxic": ys, "term": words, "n": counts})
         for part in parts:
             for i, text, y in zip(part["doc_id"], part["text"], part["toxic"], strict=True):
                 c = terms(text)
-                yield pd.DataFrame({"doc_id": i, "toxic": y, "term": list(c.keys()), "n": list(c.values())})
+                ids += [i] * len(c)
+                ys += [y] * len(c)
+                words += c.keys()
+                counts += c.values()
+                if len(ids) > 20_000:
+                    yield table()
+                    ids, ys, words, counts = [], [], [], []
+        yield table().astype({"doc_id": "int64", "toxic": "int32", "n": "int64"})
+        batches.trim()
 
     spread = rows.mapInPandas(expand, "doc_id long, toxic int, term string, n long")
     spread = spread.groupBy("doc_id", "toxic", "term").agg(F.max("n").alias("n"))
@@ -230,6 +240,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = Fa
                 if evidence:
                     why.append([{"toxic": int(index.labels[i]), "cosine": s} for s, i in near])
             yield pd.DataFrame({"score": out, "evidence": why}) if evidence else pd.Series(out)
+        batches.trim()
 
     if not evidence:
         return docs.withColumn(into, scored(F.col(f"`{text}`")))
