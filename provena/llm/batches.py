@@ -6,13 +6,16 @@ import ctypes
 
 from pyspark.sql import SparkSession
 
+from provena.sources.shipping import ship
+
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch, unless the session sets its own bound. A single longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 
 
 def bound(spark: SparkSession) -> None:
-    """Let no batch pass BATCH_BYTES by more than one row, however long the texts are."""
+    """Let no batch pass BATCH_BYTES by more than one row, however long the texts are; and let workers import this package."""
+    ship(spark)
     if not getattr(spark, "_provena_bounded", False):
         spark.conf.set(KEY, str(BATCH_BYTES))
         spark._provena_bounded = True
