@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from provena.operators.photo import ai_label, label_score, tile_grid
 from provena.sources.schemas import PHOTO
+from provena.sources.shipping import ship
 
 
 def rgb(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
@@ -33,6 +34,8 @@ def tile_predictions(images: DataFrame, make: Callable[[], Callable[[np.ndarray]
     """(image_id, x, y, results) of every tile. ``make`` runs once in each worker; it gives a callable from a batch of tiles to label probabilities."""
     grid = tile_grid(images, tile, overlap).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("tile_no", "x", "y"))).alias("tiles"))
 
+    ship(images.sparkSession)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make()
         for part in parts:
@@ -66,6 +69,8 @@ def word_errors(pages: DataFrame, words: DataFrame, recompress: Callable[[], Cal
     boxes = words.where("w >= 4 and h >= 4").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("word_no", "text", "conf", "x", "y", "w", "h"))).alias("words"))
     names = ["doc_id", "page", "word_no", "text", "conf", "x", "y", "w", "h", "ela"]
 
+    ship(pages.sparkSession)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         again = recompress()
         for part in parts:
@@ -126,6 +131,8 @@ def annotate(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     drawn = boxes.groupBy("doc_id", "page", "annotated_file").agg(F.array_sort(F.collect_list(F.struct("flag_seq", "marker", "left", "top", "right", "bottom"))).alias("boxes"))
 
+    ship(pages.sparkSession)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():

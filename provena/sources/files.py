@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provena.sources.schemas import DEFAULT, EXIF
+from provena.sources.shipping import ship
 
 #: What uploads may be.
 IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif")
@@ -93,6 +94,8 @@ def exif_tags(content: bytes) -> dict[str, str]:
 def exif(files: DataFrame) -> DataFrame:
     """The exif relation of picture files."""
 
+    ship(files.sparkSession)
+
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(i, image_format(bytes(c)), exif_tags(bytes(c)) or None) for i, c in zip(part["doc_id"], part["content"], strict=True)]
@@ -111,6 +114,8 @@ def provided(files: DataFrame, make: Callable[[], Callable[[str, bytes], list[di
     out = T.StructType([T.StructField("doc_id", T.LongType()), *fields.fields])
     names = [f.name for f in out.fields]
 
+    ship(files.sparkSession)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work = make()
         for part in parts:
