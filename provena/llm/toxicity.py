@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,23 +174,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     sample = sample.withColumnRenamed("doc_id", "__id")  # at most MAX_TOXIC + MAX_CLEAN rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where("text is not null")
 
-    def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, ys, words, counts = [], [], [], []
-        table = lambda: pd.DataFrame({"doc_id": ids, "toxic": ys, "term": words, "n": counts})
+    def expand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["doc_id", "toxic", "term", "n"], [pa.int64(), pa.int32(), pa.string(), pa.int64()]
+        held: list[list] = [[], [], [], []]
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds, strict=True)], names)
         for part in parts:
-            for i, text, y in zip(part["doc_id"], part["text"], part["toxic"], strict=True):
-                c = terms(text)
-                ids += [i] * len(c)
-                ys += [y] * len(c)
-                words += c.keys()
-                counts += c.values()
-                if len(ids) > 20_000:
-                    yield table()
-                    ids, ys, words, counts = [], [], [], []
-        yield table().astype({"doc_id": "int64", "toxic": "int32", "n": "int64"})
+            for r in part.to_pylist():
+                c = terms(r["text"])
+                for x, more in zip(held, ([r["doc_id"]] * len(c), [r["toxic"]] * len(c), c.keys(), c.values()), strict=True):
+                    x += more
+                if len(held[0]) > 20_000:
+                    yield made()
+                    held = [[], [], [], []]
+        yield made()
         batches.trim()
 
-    spread = rows.mapInPandas(expand, "doc_id long, toxic int, term string, n long")
+    spread = rows.select("doc_id", "text", "toxic").mapInArrow(expand, "doc_id long, toxic int, term string, n long")
     spread = spread.groupBy("doc_id", "toxic", "term").agg(F.max("n").alias("n"))
     spread.persist()
     size = {r["toxic"]: r["c"] for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("c")).collect()}
