@@ -69,11 +69,12 @@ def mix(df: DataFrame, source: Column, size: Column, identity: Column, quality:
     gives its first ``part`` words. Null sources are a source of their own, sizes of null count
     as 0, weights of null as 1; repeated rows are rows of their own; an empty table gives none.
     With ``keep`` the table is written to the shared folder once, so it should be narrow; without,
-    it is read three times, and texts may ride along. Its columns must not start with __.
+    it is read three times, and texts may ride along. Its columns must not start with __; those
+    named as the new ones are replaced.
     """
     weight = F.coalesce(quality.cast("double"), F.lit(1.0))
     key = exponential_key(identity, weight, seed)
-    names = df.columns
+    names = [c for c in df.columns if c not in ("source_size", "target", "copies", "part", "taken")]
     base = df.select(*[F.col(f"`{c}`") for c in names], source.alias("__source"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("__size"), key.alias("__key"), identity.alias("__id"))
     bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS).cast("int"))
     base = base.withColumn("__bucket", bucket)
@@ -130,10 +131,12 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     Documents stay whole: the one that a source's budget ends in is taken if at least half of it fits.
     """
-    names = docs.columns
-    out = mix(docs.withColumn("mix_words", word_count(F.col("text"))), F.col("source"), F.col("mix_words"), F.col("doc_id"), plain_quality(F.col("text"), F.col("mix_words")), keep=False)
+    own = {c: f"doc_{c}" for c in docs.columns}  # no name of the mix is one of these
+    rows = docs.withColumnsRenamed(own).withColumn("mix_words", word_count(F.col("doc_text")))
+    out = mix(rows, F.col("doc_source"), F.col("mix_words"), F.col("doc_doc_id"), plain_quality(F.col("doc_text"), F.col("mix_words")), keep=False)
     times = F.col("copies") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("mix_words")), 1).otherwise(0)
-    return out.where(times > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in names])
+    out = out.where(times > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times)))
+    return out.select(*[F.col(f"`{new}`").alias(c) for c, new in own.items()])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,9 +110,7 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                 at = m.start("value") + part.start(k)
                 if k == 3 and part[3] in known:
                     value, spans = value + known[part[3]][0], spans + known[part[3]][1]
-                elif k == 3 and IDENTIFIER.match(part[3]) and len(m["value"]) != len(part[0]):
-                    value, spans = value, spans  # an unknown name within an expression
-                else:
+                elif k != 3 or not IDENTIFIER.match(part[3]) or len(m["value"]) == len(part[0]):  # else an unknown name within an expression
                     value, spans = value + part[k], [*spans, (at, at + len(part[k]))]
             if spans:
                 known[m["name"]] = (value, spans)
@@ -167,7 +165,7 @@ def find_secrets(df: DataFrame, text: str = "text", redacted: bool = False) -> D
         rows = []
         for t in texts:
             base, spans = scan(t)
-            rows.append(([s for s in base], [s for s in spans], redact(t, spans) if redacted and t is not None else None))
+            rows.append((base, spans, redact(t, spans) if redacted and t is not None else None))
         as_dicts = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         out = {"base": [as_dicts(r[0]) for r in rows], "spans": [as_dicts(r[1]) for r in rows]}
         return pd.DataFrame(out | ({"text": [r[2] for r in rows]} if redacted else {}))

@@ -137,10 +137,11 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], size: Column, identity: li
     Give ``n_shards``, or ``target_bytes`` of a leaf. Every row goes to one shard: null values
     of a dimension sort before all others, repeated rows are rows of their own (equal ones may
     be cut apart only by where their identity's hash lies, so equal identities stay together),
-    an empty table gives no rows. ``df`` is read once: its columns, sizes and dimensions are
+    an empty table gives no rows; columns named shard and slot are replaced. ``df`` is read once: its columns, sizes and dimensions are
     written to the shared folder, so pass narrow columns, not texts.
     """
     names = [f"__d{i}" for i in range(len(dims))]
+    df = df.drop("shard", "slot")
     base = df.select(
         *[F.col(f"`{c}`") for c in df.columns],
         size.cast("long").alias("__size"),

@@ -35,9 +35,12 @@ def test_odd_tables_pass_every_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "some words here", "en", None, 15), (3, "same text twice " * 9, "en", "s", 9), (4, "same text twice " * 9, "en", "s", 9)]
     odd = spark.createDataFrame(rows, docs.schema)
-    for start in (odd, docs.limit(0), odd.withColumns({c: odd["lang"] for c in ("spans", "ids", "uid", "toxicity", "component_id")})):
-        for _, stage in corpus_pipeline.STAGES:
-            start = stage(spark, start, SF)
+    for start in (odd, docs.limit(0), odd.withColumns({c: odd["lang"] for c in ("spans", "ids", "uid", "toxicity", "component_id", "taken", "target", "copies")})):
+        for name, stage in corpus_pipeline.STAGES:
+            before, start = start, stage(spark, start, SF)
+            assert start.columns == before.columns or name == corpus_pipeline.STAGES[-1][0]
+            if name == corpus_pipeline.STAGES[2][0]:
+                assert sorted(map(str, start.drop("text", "n_chars").collect())) == sorted(map(str, before.drop("text", "n_chars").collect()))
         start.collect()
 
 
