@@ -31,8 +31,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced and n_chars counted anew."""
-    found = secrets.find_secrets(docs, redacted=True)
-    return _like(found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
+    own = {c: f"doc_{c}" for c in docs.columns}  # no name of the scan is one of these
+    found = secrets.find_secrets(docs.withColumnsRenamed(own), "doc_text", redacted=True)
+    found = found.withColumn("doc_n_chars", F.length("doc_text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[F.col(f"`{new}`").alias(c) for c, new in own.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
