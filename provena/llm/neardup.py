@@ -1,115 +1,115 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Equal vectors of a label are one class with a count. Each pass orders a label's classes by the
-concatenated signs of random projections, cuts the order into blocks of BLOCK classes with the
-last WINDOW of each block joined to the next, and compares all classes of a block by exact
-cosine. A pair is counted in the first pass that brings it together, which follows from both
-ranks in every pass; so no pair is ever a row: blocks return counts of links and the edges of a
-forest. Ranks come from counts of key prefixes, so no task sorts a whole label.
+"""Embedding near-duplicates by comparing all pairs in bounded chunks.
+
+Equal vectors of a label are one class with a count. A label's classes are dealt to chunks by
+their hash, and each pair of chunks is one task that compares its classes by exact cosine: first
+in single precision, and in double precision what lies closer to the threshold than rounding
+reaches. A pair of classes meets in one task only, so no pair is ever a row: tasks return counts
+of links and the edges of a forest. Work grows with the square of a label's classes and a
+class is copied once for each chunk of its label; a task's memory is bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provena.llm import batches, scratch
 from provena.llm.components import connected_components
 from provena.llm.topk import valid
 
-PASSES = 8
-BITS = 62
-#: Leading bits of a key whose values are counted to number an order.
-PREFIX_BITS = 12
-BLOCK = 4096
-WINDOW = 1024
 SIMILAR = 0.93
-SEED = 11
-
-
-def sign_keys(passes: int):
-    """A mapInArrow function: (uid, vector) to a key for each pass."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in parts:
-            uids, vectors = batch.column(0), batch.column(1)
-            dims = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            keys = np.zeros((len(dims), passes), np.int64)
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, int(dim)]).standard_normal((int(dim), passes * BITS))
-                x = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), int(dim))
-                for at in range(0, len(own), 4096):
-                    signs = (x[at : at + 4096] @ planes[dim] > 0).reshape(-1, passes, BITS).astype(np.int64)
-                    keys[own[at : at + 4096]] = (signs << np.arange(BITS - 1, -1, -1)).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([uids, pa.array(list(keys), pa.list_(pa.int64()))], ["uid", "keys"])
-
-    return run
-
-
-def comparer(similar: float, block: int, window: int):
-    """A function of the rows of one (label, pass, block): counts of links and a forest."""
-
-    def met(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Whether ranks come together in a pass."""
-        low, high = np.minimum(one, two), np.maximum(one, two)
-        return (low // block == high // block) | ((low // block + 1 == high // block) & (low % block >= block - window))
+#: Classes of a chunk. Labels of more than MANY chunks get larger ones, up to CHUNK_BYTES of doubles.
+BLOCK = 4096
+MANY = 16
+CHUNK_BYTES = 8 << 20
+#: Rows and columns of a tile of cosines, and numbers that one step of the double precision check holds.
+TILE = (256, 4096)
+EXACT_NUMBERS = 1 << 20
+
+
+def linked(x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, similar: float) -> np.ndarray:
+    """Whether rows of x and y have a cosine of at least ``similar``; xs and ys are the same in single precision."""
+    slack = (x.shape[1] + 8) * 2.0**-23  # more than the rounding of a single precision product of unit vectors
+    cosine = xs @ ys.T
+    out = cosine >= similar + slack
+    i, j = np.nonzero((cosine >= similar - slack) & ~out)
+    step = max(1, EXACT_NUMBERS // x.shape[1])
+    for at in range(0, len(i), step):
+        one, two = i[at : at + step], j[at : at + step]
+        out[one, two] = np.einsum("ij,ij->i", x[one], y[two]) >= similar
+    return out
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest member of its set, after the sets of i and j are joined."""
+    while True:
+        one, two = label[i], label[j]
+        apart = one != two
+        if not apart.any():
+            return label
+        i, j, one, two = i[apart], j[apart], one[apart], two[apart]
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(less := root[root], root):
+            root = less
+        label = root[label]
+
+
+def comparer(similar: float):
+    """A function of the rows of two chunks of a label, or of one chunk: counts of links and a forest."""
 
     def compare(table: pa.Table) -> pa.Table:
-        uids, docs = table.column("uid").to_numpy(), table.column("docs").to_numpy()
-        ranks = np.stack(table.column("ranks").to_numpy())
-        p, own = table.column("pass")[0].as_py(), table.column("own").to_numpy(zero_copy_only=False)
+        uids, docs = table.column("uid").to_numpy(), table.column("docs").to_numpy().astype(np.float64)
+        chunk, low, high = table.column("chunk").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
         vectors = table.column("embedding").combine_chunks()
         dims = vectors.value_lengths().to_numpy(zero_copy_only=False)
-        counts = np.zeros(len(uids), np.int64)
+        counts = np.zeros(len(uids), np.float64)
         label = np.arange(len(uids))
-        for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), int(dim))
+
+        def unit(at: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+            x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            edges = []
-            for start in range(0, len(at), 512):
-                i, j = np.nonzero(x[start : start + 512] @ x[start:].T >= similar)
-                i, j = i + start, j + start
-                some = (i < j) & (own[at[i]] | own[at[j]])
-                i, j = at[i[some]], at[j[some]]
-                edges.append((i, j))
-                new = np.ones(len(i), bool)
-                for q in range(p):
-                    new &= ~met(ranks[i, q], ranks[j, q])
-                np.add.at(counts, i[new], docs[j[new]])
-                np.add.at(counts, j[new], docs[i[new]])
-            i, j = (np.concatenate(e) for e in zip(*edges, strict=True))
-            while True:
-                less = label.copy()
-                np.minimum.at(less, i, label[j])
-                np.minimum.at(less, j, label[i])
-                less = less[less]
-                if np.array_equal(less, label):
-                    break
-                label = less
+            return x, x.astype(np.float32)
+
+        for dim in np.unique(dims):
+            ones = np.flatnonzero((dims == dim) & (chunk == low))
+            x, xs = unit(ones, int(dim))
+            twos, y, ys = ones, x, xs
+            if low != high:
+                twos = np.flatnonzero((dims == dim) & (chunk == high))
+                y, ys = unit(twos, int(dim))
+            for r in range(0, len(ones), TILE[0]):
+                rows = slice(r, r + TILE[0])
+                for c in range(r if low == high else 0, len(twos), TILE[1]):
+                    cols = slice(c, c + TILE[1])
+                    some = linked(x[rows], y[cols], xs[rows], ys[cols], similar)
+                    if low == high:
+                        some &= ones[rows][:, None] < twos[cols]
+                    used = np.flatnonzero(some.any(axis=1))
+                    if not len(used):
+                        continue
+                    some, i, j = some[used], ones[rows][used], twos[cols]
+                    weights = some.astype(np.float64)
+                    counts[i] += weights @ docs[j]
+                    counts[j] += docs[i] @ weights
+                    a, b = np.nonzero(some & (label[i][:, None] != label[j]))
+                    label = joined(label, i[a], j[b])
         tree = np.flatnonzero(label != np.arange(len(label)))
         some = np.flatnonzero(counts)
         a = np.concatenate([uids[some], uids[tree]])
-        return pa.table({"a": a, "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), uids[label[tree]]]), mask=np.arange(len(a)) < len(some)), "links": np.concatenate([counts[some], np.zeros(len(tree), np.int64)])})
+        return pa.table({"a": a, "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), uids[label[tree]]]), mask=np.arange(len(a)) < len(some)), "links": np.concatenate([counts[some].astype(np.int64), np.zeros(len(tree), np.int64)])})
 
     return compare
 
 
-def near_duplicates(df: DataFrame, similar: float = SIMILAR, passes: int = PASSES, block: int = BLOCK, window: int = WINDOW) -> DataFrame:
+def near_duplicates(df: DataFrame, similar: float = SIMILAR, passes: int | None = None, block: int = BLOCK, window: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
-    Rows of equal, not null labels are linked when a pass brings them together and their cosine,
-    in double precision, is at least ``similar``. A label's classes that fit one block are all
-    compared; beyond that a pair is missed only if no pass brings it together. Null or zero
-    vectors, and those that hold null, NaN or infinite components, link with nothing; nor do
+    Rows of equal, not null labels are linked when their cosine, in double precision, is at least
+    ``similar``; all pairs of a label are compared, whatever its size. ``block`` is how many
+    classes a chunk has, about; ``passes`` and ``window`` have no meaning any more. Null or zero vectors, and those that hold null, NaN or infinite components, link with nothing; nor do
     vectors of different dimensions. Equal vectors are always linked. Rows that repeat an id are
     vectors of their own; null ids count as no smallest id. An empty table gives no rows.
     """
@@ -119,20 +119,13 @@ def near_duplicates(df: DataFrame, similar: float = SIMILAR, passes: int = PASSE
     rows = rows.withColumn("uid", F.when(usable, F.xxhash64("label", "embedding")))
     classes = rows.where("uid is not null").groupBy("uid", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("docs"))
     classes = scratch.materialize(classes, "vector_classes")
-    keys = classes.select("uid", "embedding").mapInArrow(sign_keys(passes), "uid long, keys array<long>")
-    keyed = keys.join(classes.select(F.col("uid").alias("u"), "label"), F.col("uid") == F.col("u")).select("uid", "label", F.posexplode("keys").alias("pass", "key"))
-    keyed = scratch.materialize(keyed.withColumn("prefix", F.shiftright("key", BITS - PREFIX_BITS)), "vector_keys")
-    before = W.partitionBy("label", "pass").orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)
-    starts = keyed.groupBy("label", "pass", "prefix").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    inside = F.row_number().over(W.partitionBy("label", "pass", "prefix").orderBy("key", "uid"))
-    ranked = keyed.withColumn("r", inside).join(starts, ["label", "pass", "prefix"])
-    ranks = ranked.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", (F.col("start") + F.col("r") - 1).alias("rank")))).getField("rank").alias("ranks"))
-    whole = classes.join(ranks.withColumnRenamed("uid", "u"), F.col("uid") == F.col("u")).select("uid", "label", "embedding", "docs", "ranks", F.posexplode("ranks").alias("pass", "rank"))
-    own = F.struct((F.col("rank") / block).cast("long").alias("block"), F.lit(True).alias("own"))
-    guest = F.struct((F.col("rank") / block).cast("long").__add__(1).alias("block"), F.lit(False).alias("own"))
-    places = F.when(F.col("rank") % block >= block - window, F.array(own, guest)).otherwise(F.array(own))
-    dealt = whole.withColumn("place", F.explode(places)).select("uid", "label", "embedding", "docs", "ranks", "pass", "place.block", "place.own")
-    found = dealt.groupBy("label", "pass", "block").applyInArrow(comparer(similar, block, window), "a long, b long, links long")
+    sizes = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).withColumnRenamed("label", "l")
+    size = F.expr(f"greatest(1, least(greatest({int(block)}, n div {MANY}), {CHUNK_BYTES} div (8 * dims)))")
+    dealt = classes.join(sizes.select("l", F.ceil(F.col("n") / size).alias("chunks")), F.col("label") == F.col("l"))
+    dealt = dealt.withColumn("chunk", F.pmod("uid", "chunks"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("low"), F.greatest(c, "chunk").alias("high")))
+    dealt = dealt.withColumn("pair", F.explode(others)).select("uid", "label", "embedding", "docs", "chunk", "pair.low", "pair.high")
+    found = dealt.groupBy("label", "low", "high").applyInArrow(comparer(similar), "a long, b long, links long")
     found = scratch.materialize(found, "vector_links")
     parts = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))

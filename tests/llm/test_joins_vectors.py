@@ -164,6 +164,27 @@ def test_small_blocks_find_nearly_all_and_nothing_else(spark):
     assert sum(got[i]["n_links"] for i in want) >= 0.9 * sum(w[1] for w in want.values())
 
 
+@pytest.mark.parametrize("bytes_of_chunk, block", [(8 << 20, 48), (64 * 16 * 8, 10**6)])
+def test_groups_of_many_blocks_keep_all_links(spark, monkeypatch, bytes_of_chunk, block):
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", bytes_of_chunk)
+    monkeypatch.setattr(neardup, "TILE", (7, 20))
+    rng = np.random.default_rng(9)
+    group = rng.standard_normal(16) + rng.standard_normal((300, 16)) * 0.2
+    spread = rng.standard_normal((100, 16)) * 0.75 + rng.standard_normal(16)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(np.concatenate([group, spread]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.93, block=block)
+    assert sorted(map(tuple, got.collect())) == _plain_near(rows, 0.93)
+
+
+def test_a_group_larger_than_the_default_block_keeps_all_links(spark):
+    rng = np.random.default_rng(10)
+    x = np.float32(rng.standard_normal(32) + rng.standard_normal((20_000, 32)) * 0.2).astype(float)
+    df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((u[at : at + 500] @ u.T >= 0.93).sum()) for at in range(0, len(u), 500)) - len(u)
+    assert sum(r["n_links"] for r in neardup.near_duplicates(df, 0.93).select("n_links").collect()) == want
+
+
 def test_top_k_equals_plain_ranking(spark, monkeypatch):
     monkeypatch.setattr(topk, "TILE_ROWS", 16)
     rng = np.random.default_rng(3)
