@@ -3,8 +3,8 @@
 The tokenizer never fails: what is no tag is text. The builder closes what HTML lets authors
 leave open (p, li, dt, dd, tr, td, th, option, thead ...), ignores stray ends, and keeps raw
 text elements whole. Rendering leaves out what a browser doesn't show (head, script, style,
-template, noscript, hidden, display:none, visibility:hidden) and nothing else: menus, asides
-and footers are visible. Blocks stand on their own lines, paragraphs and headings with an empty
+template, noscript, hidden, display:none, visibility:hidden) and nothing else: menus, asides,
+footers and the words of svg and math are visible; what is astray in a table stands before it. Blocks stand on their own lines, paragraphs and headings with an empty
 line around them, list items with markers and indent, table cells in aligned columns.
 """
 
@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -23,28 +24,42 @@ from provena.llm import batches
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-HIDDEN = {"head", "script", "style", "template", "noscript", "title", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas", "svg", "math"}
+HIDDEN = {"head", "script", "style", "template", "noscript", "title", "iframe", "noembed", "noframes", "datalist", "object", "audio", "video", "canvas"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "pre", "blockquote", "table", "figure", "hr", "fieldset"}
 BLOCK = SPACED | {
     "html", "body", "div", "section", "article", "main", "nav", "aside", "header", "footer", "address", "form", "li", "dt", "dd", "tr", "caption",
     "figcaption", "details", "summary", "legend", "center", "thead", "tbody", "tfoot", "option", "optgroup", "menu", "dir", "hgroup", "search",
 }
+#: Elements that hold only each other: what else opens in a PARTED one stands before the table.
+PARTED = {"table", "thead", "tbody", "tfoot", "tr"}
+CELLS = {"table", "td", "th", "caption"}
+TABLE_PARTS = {"caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr", "td", "th"}
+#: Within svg and math: what shows nothing, what holds HTML again, and HTML tags that end them.
+UNSEEN = {"desc", "metadata", "defs", "symbol", "clippath", "mask", "marker", "pattern", "lineargradient", "radialgradient", "filter", "annotation", "annotation-xml"}
+INTEGRATION = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: An opening tag closes these open elements, up to the scope that bounds the search.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"} | CELLS), "dt": ({"dt", "dd"}, {"dl"} | CELLS), "dd": ({"dt", "dd"}, {"dl"} | CELLS),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "body": ({"head"}, {"html"}),
+    "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}),
+    **dict.fromkeys(("caption", "colgroup", "col"), ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"})), "body": ({"head"}, {"html"}),
 }
 CLOSES_P = (BLOCK - {"html", "body", "li", "dt", "dd", "tr", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "legend", "summary", "figcaption"}) | {"li", "dt", "dd"}
 SCOPE = {"html", "body", "table", "td", "th", "caption", "button", "object", "template"}
+#: Marks an element that stands on a line of its own; no attribute has this name.
+OWN_LINE = "/line"
 IN_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
 #: Elements deeper than this hang on their ancestor at this depth: no input exhausts the stack.
 MAX_DEPTH = 200
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*(?:>|\Z))|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ALONE = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\s*\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _VISIBLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible", re.I)
@@ -59,7 +74,7 @@ class Node:
 
 def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("text", text, {}), ("open", name, attributes) and ("close", name, {}), in order."""
-    at, text_from, n = 0, 0, len(source)
+    at, text_from, n, foreign = 0, 0, len(source), 0
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
@@ -75,11 +90,17 @@ def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         if not name:
             continue
         if m["end"]:
+            foreign -= name in ("svg", "math") and foreign > 0
             yield "close", name, {}
             continue
         attrs = {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
+        alone = (foreign > 0 or name in ("svg", "math")) and bool(_ALONE.search(m["attrs"]))
+        foreign += name in ("svg", "math") and not alone
         yield "open", name, attrs
-        if name in RAW:
+        if alone:
+            # Only svg and math know elements that close themselves.
+            yield "close", name, {}
+        elif name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             end = close.start() if close else n
             if end > at:
@@ -95,33 +116,58 @@ def tree(source: str) -> Node:
     """The document's tree. Text and elements before any body go in an implied body."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name
+
+    def last(names: Iterable[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
 
     def close_to(names: set[str], scope: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in scope:
-                return
-            if stack[i].tag in names:
-                del stack[i:]
-                return close_to(names, scope)
+        bound = last(scope)
+        found = [places[x][k] for x in names if places.get(x) and (k := bisect_right(places[x], bound)) < len(places[x])]
+        if found:
+            cut(min(found))
+
+    def attach(child: Node | str) -> None:
+        """Add to the innermost element; what is astray in a table stands before it."""
+        if stack[-1].tag in PARTED and not (child.tag in TABLE_PARTS or child.tag in HIDDEN if isinstance(child, Node) else not child.strip()):
+            into = stack[places["table"][-1] - 1].children if places.get("table") else stack[-1].children
+            into.insert(len(into) - bool(places.get("table")), child)
+        else:
+            stack[-1].children.append(child)
 
     for kind, value, attrs in tokens(source):
         if kind == "text":
-            if stack[-1].tag == "head" and value.strip():
-                stack.pop()
-            if stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr") and value.strip():
-                # Text astray in a table stands before it.
-                i = max(k for k, x in enumerate(stack) if x.tag == "table")
-                stack[i - 1].children.insert(len(stack[i - 1].children) - 1, value)
-            else:
-                stack[-1].children.append(value)
+            if stack[-1].tag in ("head", "colgroup") and value.strip():
+                cut(len(stack) - 1)
+            attach(value)
         elif kind == "open":
             if value in ("html", "body"):
-                known = root if value == "html" else next((x for x in stack if x.tag == "body"), None)
+                known = root if value == "html" else next((stack[i] for i in places.get("body", [])), None)
                 if known is not None:
                     known.attrs = attrs | known.attrs
                     continue
-            if stack[-1].tag == "head" and value not in IN_HEAD:
-                stack.pop()
+            if stack[-1].tag == "head" and value not in IN_HEAD or stack[-1].tag == "colgroup" and value not in ("col", "template"):
+                cut(len(stack) - 1)
+            drawing = last(("svg", "math"))
+            if drawing > last(INTEGRATION | CELLS):
+                if value in BREAKOUT:
+                    cut(min(x for name in ("svg", "math") for x in places.get(name, []) if x > last(INTEGRATION | CELLS)))
+                else:
+                    attrs = attrs | dict.fromkeys((["hidden"] if value in UNSEEN else []) + ([OWN_LINE] if value == "text" else []), "")
+            if value in TABLE_PARTS and stack[inner := last(PARTED | CELLS)].tag in PARTED:
+                cut(inner + 1)
+            if stack[-1].tag in PARTED and value == "form":
+                continue
+            if stack[-1].tag in PARTED and value == "table" and places.get("table"):
+                cut(places["table"][-1])
             if value in CLOSES:
                 close_to(*CLOSES[value])
             if value in CLOSES_P:
@@ -129,23 +175,17 @@ def tree(source: str) -> Node:
             if value in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
-                stack.append(row)
+                push(row)
             node = Node(value, attrs)
-            stack[-1].children.append(node)
+            attach(node)
             if value not in VOID and len(stack) < MAX_DEPTH:
-                stack.append(node)
-        elif value == "br":
-            stack[-1].children.append(Node("br"))
-        elif value == "p" and not any(x.tag == "p" for x in stack):
-            stack[-1].children.append(Node("p"))
+                push(node)
+        elif value == "br" or value == "p" and not places.get("p"):
+            attach(Node(value))
         else:
             bound = {"td", "th", "caption"} if value not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "caption", "body", "html") else set()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == value:
-                    del stack[i:]
-                    break
-                if stack[i].tag in bound or (stack[i].tag == "table" and value != "table"):
-                    break
+            if places.get(value) and places[value][-1] > last(bound | ({"table"} if value != "table" else set())):
+                cut(places[value][-1])
     return root
 
 
@@ -317,7 +357,7 @@ def _render(node: Node, out: _Lines, shown: bool, depth: int) -> None:
             inner = _Lines()
             _render(c, inner, seen, depth)
             out.add(["  " + x if x else "" for x in inner.done()], int(c.tag == "blockquote"))
-        elif c.tag in BLOCK:
+        elif c.tag in BLOCK or OWN_LINE in c.attrs:
             # A list within an item follows its text at once.
             empty = int(c.tag in SPACED and not (c.tag in ("ul", "ol", "dl") and depth))
             out.end(empty)

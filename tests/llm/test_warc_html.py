@@ -94,6 +94,21 @@ def test_rendering(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<table><form><tr><td>x</td></tr></form></table>y", "x\n\ny"), ("<table><tr><td>a</td><p>note</p></tr><tr><td>b</table>", "note\n\na\nb"), ("<table><div>d</div><tr><td>a</table>", "d\n\na"),
+        ("<table><a href=x>l</a><tbody><tr><td>a</table>", "l\n\na"), ("<table><tr><div>d<td>a<td>b</table>", "d\n\na  b"), ("<table><tr><td>a<tr><caption>c</caption></table>", "c\na"),
+        ("<table><colgroup><b>x</b><tr><td>a</table>", "x\n\na"), ("<table><tr><td>a<table><tr><td>b</table>c</table>", "a\n\nb\n\nc"), ("<table><tr><table><tr><td>b</table>", "b"),
+        ("<table><tr><td>a</td><img alt=pic></tr></table>", "pic\n\na"), ("<ul><li>a<table><tr><td><ul><li>b</ul></table><li>c</ul>", "- a\n\n  - b\n- c"), ("<table><script>no</script><tr><td>a</table>", "a"),
+        ("<svg><title>t</title><defs><text>no</text></defs><text>a</text><text>b</text><path d='M 1'/></svg>c", "a\nb\nc"), ("<svg><defs/><style/><text>a</text></svg>", "a"), ("<svg><defs><g><p>out", "out"),
+        ("<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></semantics></math>", "x=2"), ("<p>a<br/>b", "a\nb"), ("<div/>a", "a"),
+    ],
+)
+def test_text_astray_in_tables_and_words_of_drawings(source, text):
+    assert html_text.render(source) == text
+
+
 def test_rendering_of_deep_and_long_pages():
     assert html_text.render("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(html_text.render("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
