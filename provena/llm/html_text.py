@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -54,7 +54,7 @@ SCOPE = {"html", "body", "table", "td", "th", "caption", "button", "object", "te
 #: Marks an element that stands on a line of its own; no attribute has this name.
 OWN_LINE = "/line"
 IN_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
-#: Elements deeper than this hang on their ancestor at this depth: no input exhausts the stack.
+#: Items, quotes and cells within so many others are laid out without further indent or columns, so that lines stay short.
 MAX_DEPTH = 200
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*(?:>|\Z))|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
@@ -178,7 +178,7 @@ def tree(source: str) -> Node:
                 push(row)
             node = Node(value, attrs)
             attach(node)
-            if value not in VOID and len(stack) < MAX_DEPTH:
+            if value not in VOID:
                 push(node)
         elif value == "br" or value == "p" and not places.get("p"):
             attach(Node(value))
@@ -197,6 +197,7 @@ class _Lines:
         self.now = ""
         self.due = 0  # empty lines before the next text; 0 within a line
         self.space = False
+        self.mark = ""  # what the next text of a deep list item starts with
 
     def text(self, value: str) -> None:
         words = _SPACE.sub(" ", value)
@@ -208,7 +209,8 @@ class _Lines:
         if not body:
             return
         self.gap()
-        self.now += (" " if self.space and self.now else "") + body
+        self.now += (" " if self.space and self.now else "") + self.mark + body
+        self.mark = ""
         self.space = words[-1] == " "
 
     def gap(self) -> None:
@@ -229,7 +231,8 @@ class _Lines:
         self.end(empty)
         if lines:
             self.gap()
-            self.lines += lines
+            self.lines += [self.mark + lines[0], *lines[1:]] if self.mark else lines
+            self.mark = ""
             self.end(empty)
 
     def done(self) -> list[str]:
@@ -268,7 +271,20 @@ def _span(cell: Node) -> int:
     return min(50, max(1, int(value))) if value.isascii() and value.isdigit() else 1
 
 
-def _table(node: Node, shown: bool) -> list[str]:
+def _run(work: Generator) -> object:
+    """The result of a generator that yields generators and gets their results: calls without Python's stack."""
+    stack, value = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
+def _table(node: Node, shown: bool, level: int) -> Generator:
     """A table's lines: columns as wide as their widest one-column cell, two spaces apart."""
     grid: list[list[tuple[int, int, list[str]]]] = []
     for row in _rows(node):
@@ -279,7 +295,7 @@ def _table(node: Node, shown: bool) -> list[str]:
                 laid, cell_shown = _seen(c, row_shown)
                 if laid:
                     lines = _Lines()
-                    _render(c, lines, cell_shown, 0)
+                    yield _render(c, lines, cell_shown, 0, level + 1)
                     cells.append((at, _span(c), lines.done()))
                     at += _span(c)
         grid.append(cells)
@@ -288,7 +304,12 @@ def _table(node: Node, shown: bool) -> list[str]:
         for at, span, lines in cells:
             if span == 1:
                 width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
-    out = [line for c in node.children if isinstance(c, Node) and c.tag == "caption" and _seen(c, shown)[0] for line in _cell(c, shown)]
+    out = []
+    for c in node.children:
+        if isinstance(c, Node) and c.tag == "caption" and _seen(c, shown)[0]:
+            lines = _Lines()
+            yield _render(c, lines, _seen(c, shown)[1], 0, level + 1)
+            out += lines.done()
     for cells in grid:
         for i in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
@@ -302,18 +323,26 @@ def _table(node: Node, shown: bool) -> list[str]:
     return out
 
 
-def _cell(node: Node, shown: bool) -> list[str]:
-    lines = _Lines()
-    _render(node, lines, _seen(node, shown)[1], 0)
-    return lines.done()
+def _deep_table(node: Node, out: _Lines, shown: bool, level: int) -> Generator:
+    """A table below MAX_DEPTH: its captions, then every cell on lines of its own."""
+    out.end(1)
+    cells = [(c, shown) for c in node.children if isinstance(c, Node) and c.tag == "caption"]
+    for row in _rows(node):
+        cells += [(c, _seen(row, shown)[1]) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
+    for c, around in cells:
+        laid, seen = _seen(c, around)
+        if laid:
+            yield _render(c, out, seen, 0, level + 1)
+            out.end()
+    out.end(1)
 
 
 def _marker(parent: Node, n: int) -> str:
     return f"{n}. " if parent.tag == "ol" else "- "
 
 
-def _render(node: Node, out: _Lines, shown: bool, depth: int) -> None:
-    """A node's children; ``shown`` is whether its text is visible."""
+def _render(node: Node, out: _Lines, shown: bool, depth: int, level: int) -> Generator:
+    """A node's children; ``shown`` is whether its text is visible, ``level`` how many items, quotes and cells are around."""
     number = 1
     if node.tag == "ol":
         start = node.attrs.get("start", "1").strip()
@@ -344,10 +373,23 @@ def _render(node: Node, out: _Lines, shown: bool, depth: int) -> None:
             raw = raw[1:] if raw.startswith("\n") else raw
             out.add([line.rstrip() for line in raw.rstrip("\n ").split("\n")] if raw.strip() else [], 1)
         elif c.tag == "table":
-            out.add(_table(c, seen), 1)
+            if level >= MAX_DEPTH:
+                yield _deep_table(c, out, seen, level)
+            else:
+                out.add((yield _table(c, seen, level)), 1)
+        elif c.tag in ("li", "dd", "blockquote") and level >= MAX_DEPTH:
+            out.end(int(c.tag == "blockquote"))
+            before = out.mark
+            if c.tag == "li":
+                out.mark += _marker(node, number)
+                number += 1
+            yield _render(c, out, seen, depth + 1, level + 1)
+            if out.mark:
+                out.mark = before
+            out.end(int(c.tag == "blockquote"))
         elif c.tag == "li":
             inner = _Lines()
-            _render(c, inner, seen, depth + 1)
+            yield _render(c, inner, seen, depth + 1, level + 1)
             lines = inner.done()
             mark = _marker(node, number)
             number += 1
@@ -355,20 +397,31 @@ def _render(node: Node, out: _Lines, shown: bool, depth: int) -> None:
                 out.add([mark + lines[0], *[" " * len(mark) + x if x else "" for x in lines[1:]]], 0)
         elif c.tag in ("dd", "blockquote"):
             inner = _Lines()
-            _render(c, inner, seen, depth)
+            yield _render(c, inner, seen, depth, level + 1)
             out.add(["  " + x if x else "" for x in inner.done()], int(c.tag == "blockquote"))
         elif c.tag in BLOCK or OWN_LINE in c.attrs:
             # A list within an item follows its text at once.
             empty = int(c.tag in SPACED and not (c.tag in ("ul", "ol", "dl") and depth))
             out.end(empty)
-            _render(c, out, seen, depth)
+            yield _render(c, out, seen, depth, level)
             out.end(empty)
         else:
-            _render(c, out, seen, depth)
+            yield _render(c, out, seen, depth, level)
 
 
 def _raw(node: Node, shown: bool) -> str:
-    return "".join((c if shown else "") if isinstance(c, str) else "\n" if c.tag == "br" else _raw(c, _seen(c, shown)[1]) if _seen(c, shown)[0] else "" for c in node.children)
+    out, todo = [], [(c, shown) for c in reversed(node.children)]
+    while todo:
+        c, around = todo.pop()
+        if isinstance(c, str):
+            out.append(c if around else "")
+        elif c.tag == "br":
+            out.append("\n")
+        else:
+            laid, seen = _seen(c, around)
+            if laid:
+                todo += [(x, seen) for x in reversed(c.children)]
+    return "".join(out)
 
 
 def render(source: str | None) -> str:
@@ -376,7 +429,7 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     root, out = tree(source), _Lines()
-    _render(root, out, _seen(root, True)[1], 0)
+    _run(_render(root, out, _seen(root, True)[1], 0, 0))
     lines = out.done()
     while lines and not lines[0]:
         lines.pop(0)

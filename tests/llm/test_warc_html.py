@@ -114,6 +114,23 @@ def test_rendering_of_deep_and_long_pages():
     assert len(html_text.render("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
 
 
+@pytest.mark.parametrize("tag", ["a name=x", "font", "b", "div", "span", "blockquote"])
+def test_deep_elements_keep_their_rules(tag):
+    deep = f"<{tag}>" * 3000
+    inside = "<script>s()</script><style>t</style><p hidden>h</p><i style='display:none'>n<b>n</b></i><template>u</template>"
+    tail = "<ol><li>one<li>two</ol><table><tr><td>a<td>b<tr><td>c<td>d</table><pre>p\n <b>q</b></pre>"
+    lines = [x.strip() for x in html_text.render(deep + inside + tail).split("\n") if x]
+    cells = ["a", "b", "c", "d"] if tag == "blockquote" else ["a  b", "c  d"]
+    assert lines == ["1. one", "2. two", *cells, "p", "q"]
+
+
+def test_deep_lists_and_tables_stay_small():
+    out = html_text.render("<ul><li>x" * 5000)
+    assert out.split() == ["-", "x"] * 5000 and len(out) < 5_000_000
+    assert html_text.render("<table><tr><td>x" * 3000).split() == ["x"] * 3000
+    assert html_text.render("<p><button>" + "<div>" * 50_000 + "x") == "x"
+
+
 def test_every_visible_word_of_the_pages_is_kept(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         body = re.sub(r"(?s)<(script|style|title)\b.*?</\1>|<!--.*?-->", " ", r["html"])
