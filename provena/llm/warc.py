@@ -29,6 +29,8 @@ SEGMENT_BYTES = 1 << 16
 CHUNK_BYTES = 1 << 13
 ARCHIVE_BYTES = 16 << 20
 
+#: Begins the part of a record id that tells records of one page_id apart.
+MARK = ";sha1="
 RECORD = "record_id string, type string, segment int, origin string, total_length long, refers_to string, digest string, block binary"
 
 
@@ -180,6 +182,8 @@ def reassemble(records: DataFrame) -> DataFrame:
 def payloads(records: DataFrame) -> DataFrame:
     """Add payload_bytes (long) and payload_digest: of the decoded payload, or of the one a revisit names.
 
+    ``record_id`` and ``refers_to`` give the page's name without what makes an id unique in the
+    archive; the whole ids are in ``full_id`` and ``full_refers_to``.
     A block whose digest or framing is wrong gets a ``problem`` and null values.
     """
 
@@ -204,7 +208,8 @@ def payloads(records: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["bytes", "digest", "problem"]).astype({"bytes": "Int64"})
 
     out = records.withColumn("d", decoded("type", "block", "digest"))
-    return out.select("record_id", "type", "refers_to", F.col("d.bytes").alias("payload_bytes"), F.col("d.digest").alias("payload_digest"), F.coalesce("problem", "d.problem").alias("problem"))
+    short = lambda c: F.regexp_replace(c, f"{MARK}.*$", "").alias(c)
+    return out.select(short("record_id"), "type", short("refers_to"), F.col("record_id").alias("full_id"), F.col("refers_to").alias("full_refers_to"), F.col("d.bytes").alias("payload_bytes"), F.col("d.digest").alias("payload_digest"), F.coalesce("problem", "d.problem").alias("problem"))
 
 
 def archive_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -212,7 +217,9 @@ def archive_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
 
     Null html is an empty payload, null urls ``urn:none``; line breaks in urls become spaces. Of
     rows with equal payloads the one with the smallest page_id (null after all numbers) is the
-    response, others revisit it; repeated rows are records of their own. Equal payloads are
+    response, others revisit it; repeated rows are records of their own. Ids hold the payload's
+    digest and length, a revisit's its url's hash too, so rows that share a page_id, or have none,
+    have ids of their own. Equal payloads are
     reduced before any shuffle to one copy a task, so a payload that a third of the rows share
     does not meet in one task as text. An empty table writes no record.
     """
@@ -233,6 +240,8 @@ def archive_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
 
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
 
+    own = F.concat(F.lit(MARK), "digest", F.lit(";length="), F.col("length").cast("string"))
+
     def as_responses(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = [r for x in part.itertuples() for r in response_records(x.id, x.uri, bytes(x.payload), x.digest, segment_bytes)]
@@ -242,8 +251,8 @@ def archive_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
         for part in parts:
             yield pd.DataFrame({"record": [revisit_record(x.id, x.uri, x.to, x.digest, x.length) for x in part.itertuples()]})
 
-    made = responses.select(name("page_id").alias("id"), "uri", "payload", "digest").mapInPandas(as_responses, "record binary")
-    seen = revisits.select(F.concat(name("page_id"), F.lit(":r"), F.col("copy").cast("string")).alias("id"), "uri", name("refers_to").alias("to"), "digest", "length").mapInPandas(as_revisits, "record binary")
+    made = responses.select(F.concat(name("page_id"), own).alias("id"), "uri", "payload", "digest").mapInPandas(as_responses, "record binary")
+    seen = revisits.select(F.concat(name("page_id"), F.lit(":r"), F.col("copy").cast("string"), own, F.lit(";url="), F.hex(F.xxhash64("uri"))).alias("id"), "uri", F.concat(name("refers_to"), own).alias("to"), "digest", "length").mapInPandas(as_revisits, "record binary")
     mean = base.agg(F.avg("length").alias("b")).first()["b"] or 0.0
     write_archive(made.unionByName(seen).select(F.col("record").cast("string").alias("record")), "record", path, mean + 1024)
 

@@ -42,6 +42,18 @@ def test_repeated_rows_and_null_ids(spark):
     assert out["urn:page:1", "response"]["payload_bytes"] == 4
 
 
+def test_long_payloads_under_one_id_and_under_none(spark):
+    rows = [(i, u, c * 500) for i, u, c in [(1, "u", "a"), (1, "u", "b"), (1, "v", "b"), (1, "w", "b"), (None, "u", "c"), (None, "u", "d"), (2, "u", "d")]]
+    path = scratch.new_path(spark, "warc")
+    warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), path, 64)
+    out = warc.payloads(warc.reassemble(warc.read_archive(spark, path))).collect()
+    assert not [r for r in out if r["problem"]] and len({r["full_id"] for r in out}) == 7
+    sha = {c: _sha(c.encode() * 500) for c in "abcd"}
+    assert sorted((r["record_id"], r["payload_digest"], r["payload_bytes"]) for r in out if r["type"] == "response") == sorted([("urn:page:1", sha["a"], 500), ("urn:page:1", sha["b"], 500), ("urn:page:null", sha["c"], 500), ("urn:page:2", sha["d"], 500)])
+    named = {r["full_id"]: r["payload_digest"] for r in out if r["type"] == "response"}
+    assert all(named[r["full_refers_to"]] == r["payload_digest"] for r in out if r["type"] == "revisit")
+
+
 def test_no_pages(spark):
     assert _round(spark, []) == {}
 
