@@ -18,27 +18,45 @@ from provena.sources.schemas import LAYER_WORDS, PAGE_FONTS, PHOTO, SPANS, WORDS
 
 
 def relations_of(files: DataFrame, providers: dict[str, Callable] | None = None) -> Relations:
-    """Metadata of the files, and what providers (by relation: words, spans, layer_words, page_fonts) read of them."""
+    """Metadata of the files, and what providers (by relation: words, spans, layer_words, page_fonts) read of them, with their errors.
+
+    What a provider reads is kept by Spark, so checks and errors come from one reading.
+    """
     kinds = {"words": WORDS, "spans": SPANS, "layer_words": LAYER_WORDS, "page_fonts": PAGE_FONTS}
-    made = {name: sources.provided(files, make, kinds[name]).where("error is null").drop("error") for name, make in (providers or {}).items()}
-    return Relations(pdf_meta=sources.pdf_meta(files), exif=sources.exif(files), **made)
+    read = {name: sources.provided(files, make, kinds[name]).persist() for name, make in (providers or {}).items()}
+    made = {name: df.where("error is null").drop("error") for name, df in read.items()}
+    failed = files.select("doc_id", F.lit(None).cast("string").alias("error")).limit(0)
+    for name, df in read.items():
+        failed = failed.unionByName(df.where("error is not null").select("doc_id", F.concat(F.lit(f"{name}: "), "error").alias("error")))
+    errors = failed.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("error"))
+    return Relations(pdf_meta=sources.pdf_meta(files), exif=sources.exif(files), errors=errors, **made)
 
 
 def analyze_documents(spark: SparkSession, path: str, providers: dict[str, Callable] | None = None, as_of: Column | None = None, options: Options = Options(), save_to: str | None = None) -> DataFrame:
-    """A report for each document below a path; written as JSON too if save_to is given. FileNotFoundError if the path has none."""
+    """A report for each document below a path, with the providers' errors in ``error`` (null if none); written as JSON too if save_to is given. FileNotFoundError if the path has none."""
     files = sources.scan(spark, path)
     if files.select("doc_id").limit(1).count() == 0:
         raise FileNotFoundError(f"no document below {path}")
-    flags = all_checks(relations_of(files, providers), as_of, options).unionByName(empty(spark))
-    out = reports(flags, files.select("doc_id", "file"))
+    known = relations_of(files, providers)
+    flags = all_checks(known, as_of, options).unionByName(empty(spark))
+    out = reports(flags, files.select("doc_id", "file"), known.errors)
     if save_to:
         write_reports(out, save_to)
     return out
 
 
 def analyze_photos(spark: SparkSession, path: str, model: Callable[[], Callable[[np.ndarray], list[dict[str, float]]]], labels: list[str], t: PhotoThresholds = PHOTO) -> DataFrame:
-    """A report for each picture below a path, by a model that scores batches of tiles."""
+    """A report for each picture below a path, by a model that scores batches of tiles.
+
+    A picture that the JVM can't decode is a row with ``error`` and no scores; it is null on all others.
+    Files of no bytes are left out: no reader of Spark lists them.
+    """
     images = sources.scan_images(spark, path)
     tiles = tile_scores(tile_predictions(images, model, t.tile, t.overlap, t.batch), labels)
     label = next(v for v in labels if any(k in v.lower() for k in ("ai", "fake", "synthetic")))
-    return photo_reports(tiles, images.select("image_id", "image", "width", "height", F.lit(label).alias("ai_label")), t)
+    scored = photo_reports(tiles, images.select("image_id", "image", "width", "height", F.lit(label).alias("ai_label")), t)
+    read = images.select(sources.plain_path(F.url_decode(F.replace("image", F.lit("+"), F.lit("%2B")))).alias("read"))
+    listed = sources.scan(spark, path, sources.IMAGES).select(F.col("doc_id").alias("image_id"), F.col("file").alias("image"))
+    unread = listed.join(read, sources.plain_path(F.col("image")) == F.col("read"), "left_anti")
+    unread = unread.withColumn("filename", F.substring_index("image", "/", -1)).withColumn("error", F.lit("not decoded: broken, or of a format that the JVM does not read"))
+    return scored.withColumn("error", F.lit(None).cast("string")).unionByName(unread, allowMissingColumns=True)

@@ -30,6 +30,11 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1))
 
 
+def plain_path(path: Column) -> Column:
+    """A path with one slash after its scheme, as sources differ in it."""
+    return F.regexp_replace(path, r"^(\w+:)/+", "$1/")
+
+
 def scan(spark: SparkSession, path: str, allowed: tuple[str, ...] = DOCUMENTS) -> DataFrame:
     """(doc_id, file, ext, length, content) of the allowed files below a path; doc_id is a hash of the path."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -39,7 +44,7 @@ def scan(spark: SparkSession, path: str, allowed: tuple[str, ...] = DOCUMENTS) -
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, image, width, height, mode, data) of pictures that the JVM decodes, rows from the top, BGR; broken ones are left out."""
-    df = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+    df = spark.read.format("image").option("dropInvalid", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").load(path)
     return df.select(F.xxhash64("image.origin").alias("image_id"), F.col("image.origin").alias("image"), "image.width", "image.height", "image.nChannels", "image.mode", "image.data")
 
 

@@ -30,7 +30,7 @@ def report_arrivals(files: DataFrame, sink: str, checkpoint: str, relations: Cal
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         known = relations(batch) if relations else Relations(pdf_meta=pdf_meta(batch), exif=exif(batch))
-        out = reports(all_checks(known), batch.select("doc_id", "file"))
+        out = reports(all_checks(known), batch.select("doc_id", "file"), known.errors)
         out.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{sink}/batch={number}")
         batch.unpersist()
 

@@ -95,6 +95,29 @@ def test_a_failing_provider_is_a_row(spark, folder):
     assert sorted((r["font_name"] or "", r["error"] or "") for r in rows) == [("", "ValueError: broken"), *[("jpeg", "")] * 2, *[("jpg", "")] * 2, *[("pdf", "")] * 2]
 
 
+def test_reports_show_what_providers_failed_on(spark, folder):
+    def make():
+        def read(ext, content):
+            if ext == "png":
+                raise ValueError("broken")
+            return []
+
+        return read
+
+    got = {r["file"].rsplit("/", 1)[1]: r["error"] for r in analyze.analyze_documents(spark, folder, {"page_fonts": make, "words": make}).collect()}
+    assert got == {"a.png": "page_fonts: ValueError: broken; words: ValueError: broken", "b.PDF": None, "c.jpg": None, "d.jpeg": None}
+
+
+def test_pictures_that_are_not_decoded_are_rows(spark, tmp_path):
+    good = pixels.png(np.zeros((250, 250, 3), dtype=np.uint8))
+    for name, data in {"a + b%20é.png": good, "cut.png": good[:60], "w.webp": b"RIFF\0\0\0\0WEBPVP8 ", "e.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    model = lambda: lambda tiles: [{"real": 0.0, "fake": 0.5} for _ in tiles]
+    got = {r["filename"]: (r["total_tiles"] is not None, r["error"] is None) for r in analyze.analyze_photos(spark, str(tmp_path), model, ["real", "fake"]).collect()}
+    assert len(got) == 3 and {k: v for k, v in got.items() if v == (False, False)}.keys() == {"cut.png", "w.webp"}
+    assert sorted(got.values()) == [(False, False)] * 2 + [(True, True)]
+
+
 def test_photos_of_a_folder(spark, folder):
     model = lambda: lambda tiles: [{"real": 0.0, "fake": float(t[0, 0].mean() / 255)} for t in tiles]
     r = analyze.analyze_photos(spark, folder, model, ["real", "fake"]).where("filename = 'a.png'").first()
