@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer over source and configuration lines.
 
 The lexer reads ``name = literal`` pairs in the usual spellings (``=``, ``:``, ``:=``, ``=>``,
-quoted or bare, with JSON keys and ``export``), follows names that stand for literals bound
+quoted or bare, with JSON keys, types and ``export``; values in triple quotes, blocks or on the
+next lines too), follows names that stand for literals bound
 earlier in the same text, joins literals with ``+``, and scores each literal by how sensitive
 its target's name is and by how much it looks like a key. Texts are scanned whole; the scan is
 linear in a text, and a text costs its own task only its own memory.
@@ -39,12 +40,27 @@ QUALIFIERS = {"api", "access", "private", "secret", "encryption", "signing", "se
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined", "todo", "redacted"}
 THRESHOLD = 1.2
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*"""
-    r"""(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;(){}\[\]+]+)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_][A-Za-z0-9_.]*))*)"""
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_TYPE = r"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_][A-Za-z_.]*[0-9]{0,2}(?:\[[\w., \t|]*\]|<[\w., \t|]*>)?\??"
+#: A name and what binds it; a type between ":" and "=" is passed over, if a quoted literal follows or blanks stand around "=".
+HEAD = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{_NAME})["']?[ \t]*"""
+    rf"""(?:\??:[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*(?:[ \t]+=(?=\s)|[ \t]*=(?=[ \t]*["']))|(?::=|=>|=(?!=)|:(?!:)))[ \t]*"""
 )
-PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'+]+)""")
+_END = r"(?:[ \t]*\\?\r?\n[ \t]*)"
+_ONE = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+_TRIPLE = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""' + r"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''"
+_MANY = r"""(?:"(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\]|\\[\s\S])*')(?=[ \t]*[,;)}\]]*[ \t\r]*(?:\n|\Z))"""
+_BARE = r"""(?!\\\r?\n)[^\s"',;(){}\[\]+]+"""
+_LAST = r"(?![ \t]*[:=])"
+#: A value from where its head ends: on the same line, or on the next if it is quoted, or bare and alone on an indented line after "=".
+VALUE = re.compile(
+    rf"""(?:{_TRIPLE}|{_ONE}|{_BARE}|{_MANY}|(?:\([ \t]*)?{_END}?(?:{_TRIPLE}|{_ONE}){_LAST}|(?<==){_END}(?<=[ \t])[^\s"',;(){{}}\[\]+:=]++(?=[ \t]*;?[ \t\r]*(?:\n|\Z)))"""
+    rf"""(?:[ \t]*\+[ \t]*(?:{_ONE}|[A-Za-z_][A-Za-z0-9_.]*)|{_END}?[ \t]*\+[ \t]*{_END}?(?:{_ONE}){_LAST}|[ \t]*\+{_END}[A-Za-z_][A-Za-z0-9_.]*+{_LAST})*"""
+)
+PART = re.compile(r'"""((?:[^"\\]|\\[\s\S]|"(?!""))*)"""|' + r"""'''((?:[^'\\]|\\[\s\S]|'(?!''))*)'''|"((?:[^"\\]|\\[\s\S])*)"|'((?:[^'\\]|\\[\s\S])*)'|((?!\\\r?\n|\()[^\s"'+]+)""")
+#: What opens a block of indented lines in YAML.
+BLOCK = re.compile(r"[|>][+\-0-9]*[ \t]*\r?\n")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 IDENTIFIER = re.compile(rf"{_NAME}\Z")
 
@@ -103,18 +119,46 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """(name, value, spans of the literals that make it), in order; names that stand for literals are followed."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     for start, end in _lines(text):
-        for m in PAIR.finditer(text, start, end):
-            value, spans = "", []
-            for part in PART.finditer(m["value"]):
-                k = part.lastindex
-                at = m.start("value") + part.start(k)
-                if k == 3 and part[3] in known:
-                    value, spans = value + known[part[3]][0], spans + known[part[3]][1]
-                elif k != 3 or not IDENTIFIER.match(part[3]) or len(m["value"]) == len(part[0]):  # else an unknown name within an expression
-                    value, spans = value + part[k], [*spans, (at, at + len(part[k]))]
+        at = start
+        while (head := HEAD.search(text, at, end)) is not None:
+            at, name, spans, value = head.end(), head["name"], [], ""
+            if (block := BLOCK.match(text, at)) is not None:
+                if name_score(name):
+                    spans = _block(text, text.rfind("\n", 0, head.start()) + 1, block.end())
+                    value = "".join(text[a:b] for a, b in spans)
+            elif (m := VALUE.match(text, at)) is not None:
+                if m.end() > end and text[at] in "\"'" and text.count(text[at], text.rfind("\n", 0, head.start()) + 1, at) % 2:
+                    continue  # the quote closes a string that the name is in
+                for part in PART.finditer(m[0]):
+                    k = part.lastindex
+                    first = m.start() + part.start(k)
+                    if k == 5 and part[5] in known:
+                        value, spans = value + known[part[5]][0], spans + known[part[5]][1]
+                    elif k != 5 or not IDENTIFIER.match(part[5]) or len(m[0].strip()) == len(part[0]):  # else an unknown name within an expression
+                        value, spans = value + part[k], [*spans, (first, first + len(part[k]))]
+                at = min(m.end(), end)  # later lines of a value are read for pairs of their own too
             if spans:
-                known[m["name"]] = (value, spans)
-                yield m["name"], value, spans
+                known[name] = (value, spans)
+                yield name, value, spans
+
+
+def _block(text: str, line: int, at: int) -> list[tuple[int, int]]:
+    """The lines from ``at`` that are indented deeper than the one at ``line``, without their indents."""
+    depth, out = _INDENT.match(text, line).end() - line, []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        first = _INDENT.match(text, at, end).end()
+        last = first + len(text[first:end].rstrip())
+        if last > first:
+            if first - at <= depth:
+                break
+            out.append((first, last))
+        at = end + 1
+    return out
+
+
+_INDENT = re.compile("[ \t]*")
 
 
 def lexed_spans(text: str, base: list[Span]) -> list[Span]:

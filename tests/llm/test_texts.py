@@ -43,6 +43,25 @@ def test_lexer_follows_names(text, found):
     assert all(s in spans for s in base)
 
 
+K = "Zx9-kkQ81!mPPa2"
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (f'password: str = "{K}"', [K]), (f'const apiToken: string | null = "{K}";', [K]), (f'token: Optional[str]="{K}"', [K]), (f'let a_token: &\'static str = "{K}";', [K]),
+        (f'password =\n    "{K}"', [K]), (f'password = (\n    "{K}"\n)', [K]), (f'password = \\\n  "{K}"', [K]), (f"password =\n  {K}\nx = 1", [K]),
+        (f'secret = """\n{K}\n"""', [f"\n{K}\n"]), (f"secret = '''{K}\nab'''", [f"{K}\nab"]), (f'"secret": "{K}\nab",\n', [f"{K}\nab"]), (f"private_key: |\n  {K}\n  ab\nuser: bob", [K, "ab"]),
+        (f'secret = "{K}" +\n  "more{K}"', [K, f"more{K}"]), (f'secret = "{K}"\n  + "more{K}"', [K, f"more{K}"]), ("a." * 100 + f'password = "{K}"', [K]),
+        ('print("password:", x)\nprint("abc def")\n', []), (f"password =\nuser = {K}", []), (f"secrets:\n  db_token: {K}", [K]), (f'-token: "a"\n+db_token = "{K}"', [K]), (f'text = """\ndb_pwd = {K}\n"""', [K]),
+    ],
+)
+def test_lexer_reads_types_and_values_over_lines(text, found):
+    spans = secrets.scan(text)[1]
+    assert [text[a:b] for k, a, b in spans if k == "lexed"] == found
+    assert not found or K not in secrets.redact(text, spans)
+
+
 def test_long_texts_and_redaction():
     text = "x = y : z " * 60_000 + "token = abcdef123456"
     base, spans = secrets.scan(text)
