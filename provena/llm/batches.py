@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from provena.sources.shipping import ship
 
@@ -27,3 +27,14 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to give back
         pass
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column of ``df`` has it; case doesn't tell columns apart."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -8,7 +8,7 @@ between words, so memory is bounded for texts of any length but for a set's own
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -41,16 +41,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def span_hashes(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from starts and ends to the polynomial hashes of these stretches of 64-bit values."""
+    n = len(values)
+    up, down = (_UP, _DOWN) if n <= SLICE_BYTES else (_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:n], out=sums[1:])
+    return lambda starts, ends: (sums[ends] - sums[starts]) * down[starts]
+
+
 def _slice_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of at most a slice (a longer single word has slices of its own powers)."""
     solid = ~_SPACE[data]
     edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    n = len(data)
-    up, down = (_UP, _DOWN) if n <= SLICE_BYTES else (_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[_LOWER[data]] * up[:n], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+    return starts, mix(span_hashes(_VALUE[_LOWER[data]])(starts, ends))
 
 
 def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
