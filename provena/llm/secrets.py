@@ -13,8 +13,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A quick test that a text has what ASSIGN needs; it only saves time.
 HINT = re.compile(r"(?i:pass|secret|token|api)", re.ASCII)
 LEAST_ASSIGNED = 6
+#: Characters of a value that its score is worked out from.
+VALUE_CHARS = 4096
 
 #: How sensitive a part of a name is; qualifiers count only before "key" or "id".
 SENSITIVE = {
@@ -59,6 +64,8 @@ VALUE = re.compile(
     rf"""(?:[ \t]*\+[ \t]*(?:{_ONE}|[A-Za-z_][A-Za-z0-9_.]*)|{_END}?[ \t]*\+[ \t]*{_END}?(?:{_ONE}){_LAST}|[ \t]*\+{_END}[A-Za-z_][A-Za-z0-9_.]*+{_LAST})*"""
 )
 PART = re.compile(r'"""((?:[^"\\]|\\[\s\S]|"(?!""))*)"""|' + r"""'''((?:[^'\\]|\\[\s\S]|'(?!''))*)'''|"((?:[^"\\]|\\[\s\S])*)"|'((?:[^'\\]|\\[\s\S])*)'|((?!\\\r?\n|\()[^\s"'+]+)""")
+#: A configuration value as an element of XML.
+ELEMENT = re.compile(rf"<({_NAME})>([^<>]++)</\1>")
 #: What opens a block of indented lines in YAML.
 BLOCK = re.compile(r"[|>][+\-0-9]*[ \t]*\r?\n")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -115,17 +122,45 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
 _SEPARATOR = re.compile("[:=]")
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of the literals that make it), in order; names that stand for literals are followed."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+@dataclass(eq=False)
+class Value:
+    """What a name stands for: its first characters, the spans of its own literals, and the values that it is made of besides."""
+
+    head: str = ""
+    spans: list[tuple[int, int]] = field(default_factory=list)
+    made_of: list[Value] = field(default_factory=list)
+
+    def add(self, text: str, start: int, end: int) -> None:
+        self.head += text[start : min(end, start + VALUE_CHARS - len(self.head))]
+        self.spans.append((start, end))
+
+    def refer(self, other: Value) -> None:
+        self.head += other.head[: VALUE_CHARS - len(self.head)]
+        self.made_of.append(other)
+
+
+def literals(value: Value, done: set[int]) -> Iterator[tuple[int, int]]:
+    """Spans of all literals of a value; values in ``done`` (by id()) were asked before and give none again."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if id(v) not in done:
+            done.add(id(v))
+            yield from v.spans
+            todo += v.made_of
+
+
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each pair, in order; names that stand for literals are followed."""
+    known: dict[str, Value] = {}
     for start, end in _lines(text):
         at = start
         while (head := HEAD.search(text, at, end)) is not None:
-            at, name, spans, value = head.end(), head["name"], [], ""
+            at, name, value = head.end(), head["name"], Value()
             if (block := BLOCK.match(text, at)) is not None:
                 if name_score(name):
-                    spans = _block(text, text.rfind("\n", 0, head.start()) + 1, block.end())
-                    value = "".join(text[a:b] for a, b in spans)
+                    for a, b in _block(text, text.rfind("\n", 0, head.start()) + 1, block.end()):
+                        value.add(text, a, b)
             elif (m := VALUE.match(text, at)) is not None:
                 if m.end() > end and text[at] in "\"'" and text.count(text[at], text.rfind("\n", 0, head.start()) + 1, at) % 2:
                     continue  # the quote closes a string that the name is in
@@ -133,13 +168,18 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                     k = part.lastindex
                     first = m.start() + part.start(k)
                     if k == 5 and part[5] in known:
-                        value, spans = value + known[part[5]][0], spans + known[part[5]][1]
+                        value.refer(known[part[5]])
                     elif k != 5 or not IDENTIFIER.match(part[5]) or len(m[0].strip()) == len(part[0]):  # else an unknown name within an expression
-                        value, spans = value + part[k], [*spans, (first, first + len(part[k]))]
+                        value.add(text, first, first + len(part[k]))
                 at = min(m.end(), end)  # later lines of a value are read for pairs of their own too
-            if spans:
-                known[name] = (value, spans)
-                yield name, value, spans
+            if value.spans or value.made_of:
+                known[name] = value
+                yield name, value
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            value = Value()
+            value.add(text, *m.span(2))
+            yield m[1], value
 
 
 def _block(text: str, line: int, at: int) -> list[tuple[int, int]]:
@@ -163,13 +203,16 @@ _INDENT = re.compile("[ \t]*")
 
 def lexed_spans(text: str, base: list[Span]) -> list[Span]:
     """Literals bound to sensitive names, unless a base span covers them."""
-    if not (":" in text or "=" in text):
+    if not (":" in text or "=" in text or "</" in text):
         return []
-    out = []
-    for name, value, spans in pairs(text):
+    starts, ends = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
+    covered = lambda a, b: (i := bisect_right(starts, a)) > 0 and ends[i - 1] >= b
+    out, held, done = [], [], set()
+    for name, value in pairs(text):
         score = name_score(name)
-        if score and score + literal_score(value) >= THRESHOLD:
-            out += [("lexed", a, b) for a, b in spans if b > a and not any(s <= a and b <= e for _, s, e in base)]
+        if score and score + literal_score(value.head) >= THRESHOLD:
+            held.append(value)  # what is in done by id() must live on
+            out += [("lexed", a, b) for a, b in literals(value, done) if b > a and not covered(a, b)]
     return ordered(out)
 
 
@@ -196,8 +239,9 @@ def redact(text: str, spans: list[Span]) -> str:
 def find_secrets(df: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
     """``df`` with ``base_spans`` and ``spans`` (arrays of kind, start, end); optionally with its texts redacted.
 
-    Null texts have no spans and stay null; very long texts are scanned whole; repeated rows are
-    rows of their own; an empty table gives none. Other columns pass as they are, whatever their
+    Null texts have no spans and stay null, empty ones have none; very long texts are scanned
+    whole; repeated rows are rows of their own; an empty table gives none. Spans that start
+    together are listed in the order of KINDS. Other columns pass as they are, whatever their
     names, except base_spans and spans, which are replaced.
     """
     batches.bound(df.sparkSession)
@@ -215,9 +259,11 @@ def find_secrets(df: DataFrame, text: str = "text", redacted: bool = False) -> D
         return pd.DataFrame(out | ({"text": [r[2] for r in rows]} if redacted else {}))
 
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("base_spans", "spans")]
+    (held,) = batches.free_names(df, "scanned")
+    found = lambda c: F.col(f"`{held}`")[c]
     if redacted:
-        keep = [F.col("__s.text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c not in ("base_spans", "spans")]
-    return df.withColumn("__s", scanned(F.col(f"`{text}`"))).select(*keep, F.col("__s.base").alias("base_spans"), F.col("__s.spans").alias("spans"))
+        keep = [found("text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c not in ("base_spans", "spans")]
+    return df.withColumn(held, scanned(F.col(f"`{text}`"))).select(*keep, found("base").alias("base_spans"), found("spans").alias("spans"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

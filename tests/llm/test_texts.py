@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,31 @@ def test_lexer_reads_types_and_values_over_lines(text, found):
     assert not found or K not in secrets.redact(text, spans)
 
 
+def test_elements_and_doubled_constants():
+    text = f"<config><db_password>{K}</db_password><colour>{K}</colour></config>"
+    assert [text[a:b] for k, a, b in secrets.scan(text)[1] if k == "lexed"] == [K]
+    text = "a0 = 'Zx9-kkQ8'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(60)) + "db_pwd = a60\nauth_pin_pwd = a60 + 'more-Q81!m'"
+    began = time.perf_counter()
+    spans = secrets.scan(text)[1]
+    assert [text[a:b] for k, a, b in spans if k == "lexed"] == ["Zx9-kkQ8", "more-Q81!m"]
+    assert time.perf_counter() - began < 1
+
+
+LINES = ["password = 'abcdef{0:06d}' + x\n", "db_pwd{0} = Zx9kkQ81mPPa2\n", "x{0} = 'ab' + x0\n", "a='b", "a=\"", "<a>", "password: |\n  ab\n", "a: b|c", "a:", "secret = (\n", "k = " + "'" * 3]
+
+
+@pytest.mark.parametrize("line", LINES)
+def test_time_grows_with_the_text(line):
+    def took(n):
+        text = "".join(line.format(i) for i in range(n))
+        began = time.perf_counter()
+        secrets.scan(text)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16_000) < 8 * max(took(4_000), 0.05)
+
+
 def test_long_texts_and_redaction():
     text = "x = y : z " * 60_000 + "token = abcdef123456"
     base, spans = secrets.scan(text)
@@ -83,8 +109,9 @@ def test_op6_against_plain_patterns(spark):
 
 
 def test_secrets_keep_rows_and_columns(spark):
-    df = spark.createDataFrame([(1, "token=abcdef9", "o"), (1, "token=abcdef9", "o"), (2, None, "o"), (3, "", "o")], "doc_id long, text string, spans string")
+    df = spark.createDataFrame([(1, "token=abcdef9", "o", "s"), (1, "token=abcdef9", "o", "s"), (2, None, "o", "s"), (3, "", "o", "s")], "doc_id long, text string, spans string, scanned string")
     out = secrets.find_secrets(df, redacted=True)
+    assert [r["scanned"] for r in out.collect()] == ["s"] * 4
     assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["text"] is not None) == [(1, "[SECRET]"), (1, "[SECRET]"), (3, "")]
     assert out.count() == 4 and secrets.find_secrets(df.limit(0)).count() == 0
 
