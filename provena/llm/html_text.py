@@ -3,9 +3,11 @@
 The tokenizer never fails: what is no tag is text. The builder closes what HTML lets authors
 leave open (p, li, dt, dd, tr, td, th, option, thead ...), ignores stray ends, and keeps raw
 text elements whole. Rendering leaves out what a browser doesn't show (head, script, style,
-template, noscript, hidden, display:none, visibility:hidden) and nothing else: menus, asides,
-footers and the words of svg and math are visible; what is astray in a table stands before it. Blocks stand on their own lines, paragraphs and headings with an empty
-line around them, list items with markers and indent, table cells in aligned columns.
+template, noscript, closed details, hidden, and display:none or visibility:hidden in a style
+attribute; rules of style elements are not read) and nothing else: menus, asides, footers and the
+words of svg and math are visible; what is astray in a table stands before it. Blocks stand on
+their own lines, paragraphs and headings with an empty line around them, list items with markers
+and indent, table cells in aligned columns, with spans over columns and rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +59,16 @@ OWN_LINE = "/line"
 IN_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
 #: Items, quotes and cells within so many others are laid out without further indent or columns, so that lines stay short.
 MAX_DEPTH = 200
-
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*(?:>|\Z))|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+#: Columns are aligned up to this width, longer cells push what follows; tables of more columns have each cell on lines of its own.
+ALIGNED = 120
+MAX_COLUMNS = 1000
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+
+_TAG = re.compile(r"<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAMED = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_STOP = re.compile("[>\"']")
+#: Characters in which most tags end.
+NEAR = 512
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _ALONE = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\s*\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -72,29 +83,78 @@ class Node:
     children: list = field(default_factory=list)  # Node or str
 
 
+class _Tags:
+    """Finds the tag at a place. Every stop (a quote or an end) is passed at most once on ways that lead nowhere, and looked for once, so the time for all tags grows with the source."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.final = source, source.rfind(">")
+        self.dead: set[int] = set()  # stops from which no end of a tag is reached
+        self.asked, self.stop = 0, -1  # between these two there is no stop
+
+    def _next(self, at: int) -> int:
+        if not self.asked <= at <= self.stop:
+            m = _STOP.search(self.source, at)
+            self.asked, self.stop = at, m.start() if m else len(self.source)
+        return self.stop
+
+    def at(self, lt: int) -> tuple[bool, str, str, int] | None:
+        """Whether it is an end tag, name, attributes and where it ends; none if no tag starts there or it never ends."""
+        source = self.source
+        if lt > self.final:
+            return None
+        m = _TAG.match(source, lt, lt + NEAR)
+        if m:
+            return bool(m["end"]), m["name"], m["attrs"], m.end()
+        m = _NAMED.match(source, lt)
+        if not m:
+            return None
+        at, passed = m.end(), []
+        while (i := self._next(at)) < len(source):
+            if source[i] == ">":
+                return bool(m[1]), m[2], source[m.end() : i], i + 1
+            if i in self.dead:
+                break
+            passed.append(i)
+            close = source.find(source[i], i + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return None
+
+
 def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("text", text, {}), ("open", name, attributes) and ("close", name, {}), in order."""
     at, text_from, n, foreign = 0, 0, len(source), 0
+    tags = _Tags(source)
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
             break
-        m = _TAG.match(source, lt)
-        if not m:
-            at = lt + 1
-            continue
+        mark = source[lt + 1 : lt + 2]
+        found = None
+        if mark in ("!", "?"):
+            close = "-->" if source.startswith("<!--", lt) else ">"
+            end = source.find(close, lt + 2 * len(close) - 2)
+            end = n if end < 0 else end + len(close)
+        else:
+            found = tags.at(lt)
+            if not found:
+                at = lt + 1
+                continue
+            end = found[3]
         if lt > text_from:
             yield "text", entities.unescape(source[text_from:lt]), {}
-        at = text_from = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
+        at = text_from = end
+        if not found:
             continue
-        if m["end"]:
+        name, given = found[1].lower(), found[2]
+        if found[0]:
             foreign -= name in ("svg", "math") and foreign > 0
             yield "close", name, {}
             continue
-        attrs = {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
-        alone = (foreign > 0 or name in ("svg", "math")) and bool(_ALONE.search(m["attrs"]))
+        attrs = {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(given)}
+        alone = (foreign > 0 or name in ("svg", "math")) and bool(_ALONE.search(given))
         foreign += name in ("svg", "math") and not alone
         yield "open", name, attrs
         if alone:
@@ -194,7 +254,7 @@ class _Lines:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.now = ""
+        self.now: list[str] = []
         self.due = 0  # empty lines before the next text; 0 within a line
         self.space = False
         self.mark = ""  # what the next text of a deep list item starts with
@@ -209,7 +269,7 @@ class _Lines:
         if not body:
             return
         self.gap()
-        self.now += (" " if self.space and self.now else "") + self.mark + body
+        self.now.append((" " if self.space and self.now else "") + self.mark + body)
         self.mark = ""
         self.space = words[-1] == " "
 
@@ -221,8 +281,8 @@ class _Lines:
     def end(self, empty: int = 0) -> None:
         """End the line; at least ``empty`` empty lines come before the next text."""
         if self.now:
-            self.lines.append(self.now.rstrip(" "))
-            self.now = ""
+            self.lines.append("".join(self.now).rstrip(" "))
+            self.now = []
         self.space = False
         self.due = max(self.due, empty + 1) if self.lines else 0
 
@@ -266,9 +326,32 @@ def _rows(table: Node) -> Iterator[Node]:
                 yield from _rows(c)
 
 
-def _span(cell: Node) -> int:
-    value = cell.attrs.get("colspan", "1").strip()
-    return min(50, max(1, int(value))) if value.isascii() and value.isdigit() else 1
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "1").strip()
+    if not (value.isascii() and value.isdigit() and len(value) < 10):
+        return 1
+    return min(most, int(value)) or (most if name == "rowspan" else 1)
+
+
+def _places(rows: list[list[Node]]) -> list[list[int]]:
+    """The column in which each cell of each row starts: the first that no cell from the rows above reaches into."""
+    out: list[list[int]] = []
+    held: list[tuple[int, int, int]] = []  # start, end, first free row; by start
+    for r, cells in enumerate(rows):
+        held = [x for x in held if x[2] > r]
+        at, i, places = 0, 0, []
+        for c in cells:
+            while i < len(held) and held[i][0] <= at:
+                at = max(at, held[i][1])
+                i += 1
+            places.append(at)
+            at += _span(c, "colspan", MAX_COLSPAN)
+        out.append(places)
+        new = [(p, p + _span(c, "colspan", MAX_COLSPAN), r + down) for p, c in zip(places, cells, strict=True) if (down := _span(c, "rowspan", MAX_ROWSPAN)) > 1]
+        held = sorted(held + new) if new else held
+        if at > MAX_COLUMNS * MAX_COLSPAN or len(held) > MAX_COLUMNS:
+            break
+    return out
 
 
 def _run(work: Generator) -> object:
@@ -284,47 +367,54 @@ def _run(work: Generator) -> object:
     return value
 
 
-def _table(node: Node, shown: bool, level: int) -> Generator:
-    """A table's lines: columns as wide as their widest one-column cell, two spaces apart."""
-    grid: list[list[tuple[int, int, list[str]]]] = []
+def _table(node: Node, out: _Lines, shown: bool, level: int) -> Generator:
+    """A table: columns as wide as their widest one-column cell, two spaces apart. Columns in which no cell starts take no place."""
+    rows, around = [], []
     for row in _rows(node):
-        cells, at = [], 0
-        _, row_shown = _seen(row, shown)
-        for c in row.children:
-            if isinstance(c, Node) and c.tag in ("td", "th"):
-                laid, cell_shown = _seen(c, row_shown)
-                if laid:
-                    lines = _Lines()
-                    yield _render(c, lines, cell_shown, 0, level + 1)
-                    cells.append((at, _span(c), lines.done()))
-                    at += _span(c)
-        grid.append(cells)
-    width: dict[int, int] = {}
-    for cells in grid:
-        for at, span, lines in cells:
-            if span == 1:
-                width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
-    out = []
+        row_shown = _seen(row, shown)[1]
+        rows.append([c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and _seen(c, row_shown)[0]])
+        around.append(row_shown)
+    places = _places(rows)
+    columns = sorted({p for r in places for p in r})
+    if level >= MAX_DEPTH or len(columns) > MAX_COLUMNS or len(places) < len(rows):
+        yield _deep_table(node, out, shown, level)
+        return
+    rank = {p: i for i, p in enumerate(columns)}
+    width = [0] * len(columns)
+    grid: list[list[tuple[int, list[str]]]] = []
+    for cells, own, row_shown in zip(rows, places, around, strict=True):
+        grid.append([])
+        for c, p in zip(cells, own, strict=True):
+            lines = _Lines()
+            yield _render(c, lines, _seen(c, row_shown)[1], 0, level + 1)
+            text = lines.done()
+            grid[-1].append((rank[p], text))
+            end = p + _span(c, "colspan", MAX_COLSPAN)
+            if rank[p] + 1 == len(columns) or columns[rank[p] + 1] >= end:
+                width[rank[p]] = max(width[rank[p]], min(ALIGNED, max(map(len, text), default=0)))
+    starts = [0, *accumulate(w + 2 for w in width)]
+    made = []
     for c in node.children:
         if isinstance(c, Node) and c.tag == "caption" and _seen(c, shown)[0]:
             lines = _Lines()
             yield _render(c, lines, _seen(c, shown)[1], 0, level + 1)
-            out += lines.done()
+            made += lines.done()
     for cells in grid:
-        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line = ""
-            for at, _, lines in cells:
-                start = sum(width.get(k, 0) + 2 for k in range(at))
-                line = line.ljust(start) if len(line) <= start or not line else line + "  "
-                line += lines[i] if i < len(lines) else ""
-            out.append(line.rstrip(" "))
-    while out and not out[-1]:
-        out.pop()
-    return out
+        for i in range(max((len(lines) for _, lines in cells), default=0)):
+            line, size = [], 0
+            for at, lines in cells:
+                if i < len(lines) and lines[i]:
+                    gap = starts[at] - size if size <= starts[at] or not size else 2
+                    line += [" " * gap, lines[i]]
+                    size += gap + len(lines[i])
+            made.append("".join(line))
+    while made and not made[-1]:
+        made.pop()
+    out.add(made, 1)
 
 
 def _deep_table(node: Node, out: _Lines, shown: bool, level: int) -> Generator:
-    """A table below MAX_DEPTH: its captions, then every cell on lines of its own."""
+    """A table too deep or wide to align: its captions, then every cell on lines of its own."""
     out.end(1)
     cells = [(c, shown) for c in node.children if isinstance(c, Node) and c.tag == "caption"]
     for row in _rows(node):
@@ -347,7 +437,10 @@ def _render(node: Node, out: _Lines, shown: bool, depth: int, level: int) -> Gen
     if node.tag == "ol":
         start = node.attrs.get("start", "1").strip()
         number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
-    for c in node.children:
+    children = node.children
+    if node.tag == "details" and "open" not in node.attrs:
+        children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+    for c in children:
         if isinstance(c, str):
             if shown:
                 out.text(c)
@@ -373,10 +466,7 @@ def _render(node: Node, out: _Lines, shown: bool, depth: int, level: int) -> Gen
             raw = raw[1:] if raw.startswith("\n") else raw
             out.add([line.rstrip() for line in raw.rstrip("\n ").split("\n")] if raw.strip() else [], 1)
         elif c.tag == "table":
-            if level >= MAX_DEPTH:
-                yield _deep_table(c, out, seen, level)
-            else:
-                out.add((yield _table(c, seen, level)), 1)
+            yield _table(c, out, seen, level)
         elif c.tag in ("li", "dd", "blockquote") and level >= MAX_DEPTH:
             out.end(int(c.tag == "blockquote"))
             before = out.mark
@@ -439,10 +529,10 @@ def render(source: str | None) -> str:
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
-    """``df`` with ``visible_text`` in place of any such column. Null pages give the empty string.
+    """``df`` with ``visible_text`` in place of any such column. Null and empty pages give the empty string.
 
-    Other columns pass as they are, repeated rows stay, an empty table gives none. Pages are read
-    whole; a pass without a shuffle.
+    Other columns pass as they are, whatever their names; repeated rows stay, an empty table gives
+    none. Pages are read whole, however long; a pass without a shuffle.
     """
     batches.bound(df.sparkSession)
 

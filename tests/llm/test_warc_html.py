@@ -3,7 +3,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -121,6 +123,77 @@ def test_text_astray_in_tables_and_words_of_drawings(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"), ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f</table>", "a  b  c\nd     e\nf"),
+        ("<table><tr><td colspan=60>x<td>y<tr>" + "<td>z" * 61 + "</table>", "x" + " " * 179 + "y\n" + "  ".join("z" * 61)), ("<table><tr><td colspan=5>x<td>y<tr><td>ab<td>c</table>", "x      y\nab  c"),
+        ("<details>no<summary>s</summary><p>no</details>a", "s\na"), ("<details open>b<summary>s</summary><p>yes</details>", "b\ns\n\nyes"), ("<a href='x>y'>l</a>", "l"), ("a<b c='d>e", "a<b c='d>e"), ("a <b", "a <b"),
+        ("<!-- a > b -->c<!DOCTYPE x>d<!-- e", "cd"), ("<table><tr><td>" + "w" * 200 + "<td>b<tr><td>c<td>d</table>", "w" * 200 + "  b\nc" + " " * 121 + "d"),
+    ],
+)
+def test_spans_details_and_tags(source, text):
+    assert html_text.render(source) == text
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<a href='", "<a href=\"'", "<a \">\" ", "<b>x</b>", "<td colspan=1000 rowspan=9>x", "<tr><td rowspan=65534>x", "<tr><td>x" + "y" * 300 + "<td>z", "</p>", "<li>", "<!--", "<td>a", "<i>", "a<", "<svg>", "&amp", "<p><table>"])
+def test_time_and_size_grow_with_the_page(bit):
+    def took(n):
+        began = time.perf_counter()
+        size = len(html_text.render(bit * n))
+        return time.perf_counter() - began, size
+
+    took(100)
+    n = 240_000 // len(bit)
+    (short, less), (long, more) = took(n // 4), took(n)
+    assert long < 10 * max(short, 0.05) and more < 10 * max(less, 1000)
+
+
+def _random_tree(rng, depth, words):
+    """HTML of nested blocks, lists, tables and hidden parts, and whether each of its words shows."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["text", "div", "p", "ul", "table", "span", "hidden", "none", "script", "off"] if depth < 5 else ["text"])
+        inner = lambda: _random_tree(rng, depth + 1, words)
+        if kind == "text":
+            words.append(f"w{len(words)}")
+            out.append(f" {words[-1]} ")
+        elif kind == "p":
+            words.append(f"w{len(words)}")
+            out.append(f"<p>{words[-1]}</p>")
+        elif kind == "ul":
+            out.append("<ul>" + "".join(f"<li>{inner()}" for _ in range(rng.randint(1, 3))) + "</ul>")
+        elif kind == "table":
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{inner()}" for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3))) + "</table>")
+        elif kind in ("div", "span"):
+            out.append(f"<{kind}>{inner()}</{kind}>")
+        else:
+            hidden = {"hidden": "<div hidden>{}</div>", "none": "<div style='color:red; display : none'>{}</div>", "script": "<script>{}</script>", "off": "<p style='visibility:hidden'>{}</p>"}[kind]
+            out.append(hidden.format(f" no{len(words)} <b>no</b> " if kind != "script" else "no < x"))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_each_visible_word_of_random_trees_shows_once(seed):
+    words: list[str] = []
+    source = _random_tree(random.Random(seed), 0, words)
+    shown = [w for w in html_text.render(source).split() if w != "-"]
+    assert sorted(shown) == sorted(words)
+    if "<table>" not in source:
+        assert shown == words
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cells_of_random_tables_align(seed):
+    rng = random.Random(seed)
+    rows = [[f"r{r}c{c}" + "x" * rng.randint(0, 9) for c in range(rng.randint(1, 6))] for r in range(rng.randint(1, 6))]
+    lines = html_text.render("<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in row) for row in rows) + "</table>").split("\n")
+    for c in range(6):
+        starts = {line.index(row[c]) for line, row in zip(lines, rows, strict=True) if c < len(row)}
+        assert len(starts) <= 1
+    assert [line.split() for line in lines] == rows
+
+
 def test_rendering_of_deep_and_long_pages():
     assert html_text.render("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(html_text.render("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
