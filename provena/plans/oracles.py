@@ -5,6 +5,7 @@ from __future__ import annotations
 from provena.plans.queries import AS_OF
 from provena.sources.adapters import duckdb_views
 
+# Fixed values that decide results: editing tools, keywords and months, as in provena.functions.scalars.
 _TOOLS = "photoshop|gimp|canva|illustrator|paint|pixlr|snapseed|picsart|lightroom|foxit phantom|pdfescape|sejda|smallpdf|ilovepdf|pdf-xchange|nitro|acrobat pro|inkscape|affinity"
 _KW = "(?i)grand|total|sub-?total|gst|cgst|sgst|igst|vat|tax|discount|net|balance"
 _MON = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
@@ -218,12 +219,63 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
           JOIN (SELECT doc_id, page, string_agg(line_text, ' ' ORDER BY line_no) AS txt FROM ln GROUP BY ALL) t ON t.doc_id = d.doc_id AND t.page = d.page WHERE d.label = 'due date')
         WHERE inv IS NOT NULL AND (days < 0 OR abs(days - try_cast(terms AS DOUBLE)) > 2)""",
     ),
+    "in_order": (("crowded_words",), "SELECT *, y + h / 2 AS cy, row_number() OVER (PARTITION BY doc_id, page ORDER BY y + h / 2, word_no) AS i FROM crowded_words"),
+    # The rule word by word: step i of every page at once; a step's row has the page's groups after it.
+    "placed": (
+        ("in_order",),
+        """SELECT doc_id, page, 0::BIGINT AS i, 0::BIGINT AS grp, []::STRUCT(total DOUBLE, n INT, tall INT)[] AS groups FROM in_order WHERE i = 1
+          UNION ALL SELECT doc_id, page, i, coalesce(fit, len(groups) + 1), CASE WHEN fit IS NULL THEN list_append(groups, {'total': cy, 'n': 1, 'tall': h}) ELSE
+            list_concat(groups[:fit - 1], [{'total': groups[fit].total + cy, 'n': groups[fit].n + 1, 'tall': greatest(groups[fit].tall, h)}], groups[fit + 1:]) END
+          FROM (SELECT w.*, groups, nullif(list_position(list_transform(groups, lambda g: abs(w.cy - g.total / g.n) < 0.6 * greatest(w.h, g.tall)), true), 0) AS fit
+            FROM placed p JOIN in_order w ON w.doc_id = p.doc_id AND w.page = p.page AND w.i = p.i + 1)""",
+    ),
+    "set_spans": (("sp",), "SELECT *, (y0 + y1) / 2 AS cy, y1 - y0 AS tall, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_no, line_no, span_no) AS nth FROM sp"),
+    "down": (("set_spans",), "SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY cy, nth) AS i FROM set_spans"),
+    "across": (("set_spans",), "SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, nth) AS i FROM set_spans"),
+    # Each step places the next span of every page by the groups' first spans.
+    "in_rows": (
+        ("down",),
+        """SELECT doc_id, page, 0::BIGINT AS i, 0::BIGINT AS grp, []::STRUCT(cy DOUBLE, tall DOUBLE)[] AS heads FROM down WHERE i = 1
+          UNION ALL SELECT doc_id, page, i, coalesce(fit, len(heads) + 1), CASE WHEN fit IS NULL THEN list_append(heads, {'cy': cy, 'tall': tall}) ELSE heads END
+          FROM (SELECT s.*, heads, nullif(list_position(list_transform(heads, lambda a: abs(s.cy - a.cy) < 0.45 * greatest(s.tall, a.tall)), true), 0) AS fit
+            FROM in_rows r JOIN down s ON s.doc_id = r.doc_id AND s.page = r.page AND s.i = r.i + 1)""",
+    ),
+    "in_columns": (
+        ("across",),
+        """SELECT doc_id, page, 0::BIGINT AS i, 0::BIGINT AS grp, []::DOUBLE[] AS heads FROM across WHERE i = 1
+          UNION ALL SELECT doc_id, page, i, coalesce(fit, len(heads) + 1), CASE WHEN fit IS NULL THEN list_append(heads, x0) ELSE heads END
+          FROM (SELECT s.*, heads, nullif(list_position(list_transform(heads, lambda a: abs(s.x0 - a) <= 3), true), 0) AS fit
+            FROM in_columns r JOIN across s ON s.doc_id = r.doc_id AND s.page = r.page AND s.i = r.i + 1)""",
+    ),
+    "grouped": (
+        ("in_rows", "in_columns"),
+        """SELECT s.*, 'row' AS kind, 2 AS least, 0.7 AS share, grp FROM down s JOIN in_rows r ON r.doc_id = s.doc_id AND r.page = s.page AND r.i = s.i
+          UNION ALL SELECT s.*, 'column', 3, 0.6, grp FROM across s JOIN in_columns r ON r.doc_id = s.doc_id AND r.page = s.page AND r.i = s.i""",
+    ),
+    "peer_votes": (
+        ("grouped",),
+        r"""SELECT s.doc_id, s.page, s.kind, s.grp, s.nth, s.least, s.share, s.family AS own, o.family, count(*) AS k FROM grouped s JOIN grouped o ON o.doc_id = s.doc_id AND o.page = s.page AND o.kind = s.kind AND o.grp = s.grp AND o.nth <> s.nth
+          WHERE o.alnum > 0 AND NOT s.num AND len(regexp_extract_all(s.t, '[\p{L}\p{N}]')) >= 2 GROUP BY ALL""",
+    ),
+    "context_hits": (
+        ("peer_votes", "grouped"),
+        """SELECT doc_id, page, nth, CASE kind WHEN 'row' THEN 0 ELSE 2 END AS rule, 'the other text in the same ' || kind || ' uses the ''' || top || ''' family' AS why FROM (
+            SELECT doc_id, page, kind, nth, own, least, share, sum(k) AS others, max(k) AS most, arg_max(family, k) AS top FROM peer_votes GROUP BY ALL) WHERE others >= least AND most / others >= share AND top <> own
+          UNION ALL SELECT doc_id, page, nth, 1, 'this line mixes ' || families || ' different font families' FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, page, grp ORDER BY x0, i) AS k, len(list_distinct(list(family) OVER (PARTITION BY doc_id, page, grp))) AS families FROM grouped WHERE kind = 'row' AND alnum >= 2 AND NOT num) WHERE families >= 3 AND k > 1""",
+    ),
+    "context_flags": (
+        ("context_hits", "set_spans", "rare_text_flags"),
+        """SELECT doc_id, page, t AS field, 'Text set in ''' || font || ''' but ' || why || ' (edited or inserted text)' AS reason, 'medium' AS severity, 'font' AS check_name, box, 'yellow' AS marker
+          FROM set_spans s JOIN (SELECT doc_id, page, nth, arg_min(why, rule) AS why FROM context_hits GROUP BY ALL) h USING (doc_id, page, nth)
+          WHERE NOT EXISTS (FROM rare_text_flags f WHERE f.doc_id = s.doc_id AND f.page = s.page AND f.box = s.box)""",
+    ),
     "tile_ranks": (("tile_scores",), "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y, x)::INT AS rank, count(*) OVER (PARTITION BY image_id) AS n FROM tile_scores"),
 }
 
 _FLAGS = {
     "text_dates": "date_flags", "mixed_dates": "mixed_flags", "swapped_dates": "swapped_flags", "edit_tool_meta": "pdf_flags", "exif_checks": "exif_flags", "split_font_words": "split_flags",
-    "rare_number_font": "rare_number_flags", "rare_text_font": "rare_text_flags", "font_count": "font_count_flags", "hidden_text": "hidden_flags", "overlay_text": "overlay_flags",
+    "rare_number_font": "rare_number_flags", "rare_text_font": "rare_text_flags", "font_count": "font_count_flags", "font_context": "context_flags", "hidden_text": "hidden_flags", "overlay_text": "overlay_flags",
     "robust_z_heights": "height_flags", "low_conf_numbers": "low_conf_flags", "ela_outliers": "ela_flags", "number_formats": "number_flags", "decimal_mode": "decimal_flags",
     "row_arithmetic": "row_flags", "invoice_totals": "total_flags", "lenient_totals": "lenient_flags", "due_date_logic": "due_flags",
 }
@@ -249,7 +301,8 @@ def _with(names: list[str], select: str) -> str:
     for n in names:
         add(n)
     ctes = [duckdb_views(views)] if views else []
-    return "WITH " + ",\n".join([*ctes, *[f"{n} AS ({_PARTS[n][1]})" for n in parts]]) + "\n" + select
+    shared = lambda n: "" if n in ("placed", "in_rows", "in_columns") else "MATERIALIZED "
+    return "WITH RECURSIVE " + ",\n".join([*ctes, *[f"{n} AS {shared(n)}({_PARTS[n][1]})" for n in parts]]) + "\n" + select
 
 
 _UNION = " UNION ALL ".join(f"SELECT {_COLUMNS} FROM {n}" for n in _ALL)
@@ -270,7 +323,11 @@ ORACLE_SQL |= {
     "font_family_norm": _with(["spans"], r"SELECT font, lower(regexp_replace(regexp_replace(font, '^[A-Z]{6}\+', ''), '([-_, ]?(bold|italic|oblique|black|semibold|demi|medium|light|regular|roman|mt|ps))+$', '', 'i')) AS family, count(*) AS n_spans FROM spans GROUP BY ALL"),
     "box_union": _with(["tok"], "SELECT doc_id, page, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1)::INT AS line_no, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM tok GROUP BY doc_id, page, tok.line_no"),
     "robust_z": _with(["ela_z"], "SELECT doc_id, word_no, round(0.6745 * (ela - med) / coalesce(nullif(median(abs(ela - med)) OVER (PARTITION BY doc_id, page), 0), 1e-6), 5) AS z, med AS median, n FROM (SELECT *, median(ela) OVER (PARTITION BY doc_id, page) AS med, count(*) OVER (PARTITION BY doc_id, page) AS n FROM ela_scores)"),
-    "line_grouping": _with(["tok"], "SELECT doc_id, page, word_no, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1)::INT AS line_no, pos::INT AS pos, text FROM tok"),
+    "line_grouping": _with(
+        ["placed"],
+        """SELECT doc_id, page, word_no, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY top, grp) - 1)::INT AS line_no, (row_number() OVER (PARTITION BY doc_id, page, grp ORDER BY x, i) - 1)::INT AS pos, text
+          FROM (SELECT w.*, grp, min(y) OVER (PARTITION BY w.doc_id, w.page, grp) AS top FROM in_order w JOIN placed p ON p.doc_id = w.doc_id AND p.page = w.page AND p.i = w.i)""",
+    ),
     "split_label_merge": _with(["merged", "ln"], "SELECT doc_id, page, n AS line_no, m.line_text FROM merged m JOIN (SELECT doc_id, page, line_no, (row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1)::INT AS n FROM ln) r USING (doc_id, page, line_no)"),
     "risk_verdict": _with(_ALL, _VERDICT),
     "document_risk_report": _with(_ALL, f"SELECT doc_id, 'in/doc.v1/' || doc_id || '.pdf' AS file, risk_score, verdict, n_flags::INT AS n_flags, 'in/doc.v1/' || doc_id || '_tamper_report.json' AS report_file FROM ({_VERDICT})"),

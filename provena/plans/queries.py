@@ -163,7 +163,8 @@ def ela_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def line_grouping(spark: SparkSession, sf: str) -> DataFrame:
-    return _placed(spark, sf).select("doc_id", "page", "word_no", "line_no", "pos", "text")
+    """Over words whose lines overlap, so that the order-dependent rule decides."""
+    return lines.group_lines(view(spark, sf, "crowded_words")).select("doc_id", "page", "word_no", "line_no", "pos", "text")
 
 
 @query

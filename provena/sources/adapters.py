@@ -66,17 +66,30 @@ _FONTS = "CASE {m} WHEN 0 THEN 'ABCDEF+Courier-Bold' WHEN 1 THEN 'Times-Roman' W
 
 
 def _spans() -> str:
-    part = "SELECT k AS doc_id, 1 AS page, 0 AS block_no, n AS line_no, {s} AS span_no, {text} AS text, {font} AS font, {size} AS size, {x}.5 AS x, {width}.25 AS width FROM {{items}}"
-    font = lambda mod: _FONTS.replace("{m}", f"(CASE WHEN {mod} THEN (k + n) % 3 ELSE 9 END)")
-    rows = [
-        part.format(s=0, text="concat('Item no. ', CAST(n AS STRING), CASE WHEN n % 2 = 0 THEN ' ' ELSE '' END)", font=font("(k + n) % 13 = 0"), size="9.5", x=10, width=60),
-        part.format(s=1, text="CAST(q AS STRING)", font=font("(k + n) % 17 = 0"), size="9.5", x=90, width=20),
-        part.format(s=2, text=_money("shown"), font=font("(k + n) % 23 = 0"), size="CASE WHEN (k + n) % 29 = 0 THEN 11.0 ELSE 9.5 END", x=110, width=50),
-        part.format(s=3, text="CASE WHEN n = 1 THEN '   ' ELSE 'each unit' END", font=font("(k + n) % 7 = 0"), size="9.5", x=180, width=40),
+    """Four spans of each item, from one reading of the items."""
+    parts = [
+        ("concat('Item no. ', CAST(n AS STRING), CASE WHEN n % 2 = 0 THEN ' ' ELSE '' END)", "(k + n) % 13 = 0", "9.5", 10, 60),
+        ("CAST(q AS STRING)", "(k + n) % 17 = 0", "9.5", 90, 20),
+        (_money("shown"), "(k + n) % 23 = 0", "CASE WHEN (k + n) % 29 = 0 THEN 11.0 ELSE 9.5 END", 110, 50),
+        ("CASE WHEN n = 1 THEN '   ' ELSE 'each unit' END", "(k + n) % 7 = 0", "9.5", 180, 40),
     ]
-    union = " UNION ALL ".join(rows)
-    return f"""SELECT doc_id, page, block_no, line_no, span_no, text, font, CAST(size AS DOUBLE) AS size, CAST(x AS DOUBLE) AS x0, CAST(line_no * 20 AS DOUBLE) AS y0,
-  CAST(x AS DOUBLE) + CAST(width AS DOUBLE) AS x1, CAST(line_no * 20 + 11 AS DOUBLE) AS y1, CAST(200 AS DOUBLE) / CAST(72 AS DOUBLE) AS scale FROM ({union}) s"""
+    by = lambda f: "CASE part " + " ".join(f"WHEN '{i}' THEN {f(p)}" for i, p in enumerate(parts)) + " END"
+    odd = by(lambda p: p[1])
+    font = _FONTS.replace("{m}", f"(CASE WHEN {odd} THEN (k + n) % 3 ELSE 9 END)")
+    # Rows and columns are a little skewed on every fifth page.
+    skew = "CASE WHEN k % 5 = 0 THEN (n * 3 + nth) % 4 ELSE 0 END"
+    return f"""SELECT doc_id, page, block_no, line_no, span_no, text, font, CAST(size AS DOUBLE) AS size, x AS x0, y AS y0, x + width AS x1, y + 11 AS y1, CAST(200 AS DOUBLE) / CAST(72 AS DOUBLE) AS scale FROM (
+  SELECT k AS doc_id, 1 AS page, 0 AS block_no, n AS line_no, CAST(part AS INT) AS span_no, {by(lambda p: p[0])} AS text, {font} AS font, {by(lambda p: p[2])} AS size,
+    CAST({by(lambda p: str(p[3]))} + {skew} AS DOUBLE) + 0.5 AS x, CAST({by(lambda p: str(p[4]))} AS DOUBLE) + 0.25 AS width, CAST(n * 20 + 2 * ({skew}) AS DOUBLE) AS y
+  FROM (SELECT k, n, q, shown, UNNEST:nth:part:line FROM (SELECT *, '0 1 2 3' AS line FROM {{items}}) a) b) s"""
+
+
+def _page_lines() -> str:
+    """The lines of a bill that are no items, from one reading of the bills."""
+    by = lambda i: "CASE g " + " ".join(f"WHEN '{line[0]}' THEN {line[i]}" for line in _PAGE_LINES) + " END"
+    numbers = " ".join(line[0] for line in _PAGE_LINES)
+    return f"""SELECT k AS doc_id, 1 AS page, CAST(g AS INT) AS given_line, {by(1)} AS line
+  FROM (SELECT k, d, due, sub, tax, total, UNNEST:nth:g:line FROM (SELECT *, '{numbers}' AS line FROM {{bills}}) a) b WHERE {by(2)}"""
 
 
 #: name: (tables or views that it reads, SQL with these in braces)
@@ -95,12 +108,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "invoice_lines": (
         ("bills", "items"),
-        " UNION ALL ".join(
-            [
-                *[f"SELECT k AS doc_id, 1 AS page, {n} AS given_line, {text} AS line FROM {{bills}} WHERE {cond}" for n, text, cond in _PAGE_LINES],
-                f"SELECT k AS doc_id, 1 AS page, 10 + n AS given_line, concat(CASE WHEN (k + n) % 47 = 0 THEN '1O05' ELSE concat('Part', {_str('p')}) END, ' ', {_str('q')}, ' ', {_money('unit')}, ' ', {_AMOUNT}) AS line FROM {{items}}",
-            ]
-        ),
+        f"""{_page_lines()}
+  UNION ALL SELECT k AS doc_id, 1 AS page, CAST(10 + n AS INT) AS given_line, concat(CASE WHEN (k + n) % 47 = 0 THEN '1O05' ELSE concat('Part', {_str('p')}) END, ' ', {_str('q')}, ' ', {_money('unit')}, ' ', {_AMOUNT}) AS line FROM {{items}}""",
     ),
     "given_words": (("invoice_lines",), "SELECT doc_id, page, given_line, UNNEST:given_pos:text:line FROM {invoice_lines}"),
     "words": (
@@ -110,6 +119,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           CAST(given_pos * 90 + 10 AS INT) AS x, CAST(given_line * 60 + 20 AS INT) AS y, CAST(length(text) * 8 AS INT) AS w,
           CAST(CASE WHEN (doc_id + given_line + given_pos) % 53 = 0 THEN 30 ELSE 16 END AS INT) AS h FROM {given_words}""",
     ),
+    # Lines that overlap, baselines that wander, heights of two kinds, numbers in no order.
+    "crowded_words": (
+        ("words",),
+        """SELECT doc_id, page, CAST(word_no * 7919 % 10007 AS INT) AS word_no, text, conf, x,
+          CAST(CASE WHEN y > 5000 THEN y - 4800 ELSE y END / 5 AS INT) + CAST((doc_id * 5 + word_no * 3) % 8 AS INT) AS y, w, h FROM {words}""",
+    ),
     "spans": (("items",), _spans()),
     "page_fonts": (("items",), "SELECT k AS doc_id, 1 AS page, concat('F', CAST(n AS STRING)) AS font_name FROM {items}"),
     "layer_words": (
@@ -188,4 +203,4 @@ def duckdb_views(names: list[str]) -> str:
         source = f"string_split({m[3]}, ' ')" if m[3] == "line" else m[3]
         return f"generate_subscripts({source}, 1) - 1 AS {m[1]}, unnest({source}) AS {m[2]}"
 
-    return ",\n".join(f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', _UNNEST.sub(unnest, VIEWS[n][1]))})" for n in needed(names))
+    return ",\n".join(f"{n} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', _UNNEST.sub(unnest, VIEWS[n][1]))})" for n in needed(names))
