@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from provena.sources.shipping import ship
@@ -38,3 +41,25 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def runs(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that follow each other with equal keys (whole numbers, not null), run by run, of a task's sorted rows."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        cells = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cells])) + 1
+        if last is not None and last != tuple(c[0] for c in cells):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in cells)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -161,6 +161,7 @@ def test_small_blocks_find_nearly_all_and_nothing_else(spark):
     want = {r[0]: r for r in _plain_near(rows, 0.93)}
     got = {r["vec_id"]: r for r in neardup.near_duplicates(df, 0.93, block=48, window=16).collect()}
     assert all(got[i]["n_links"] <= want[i][1] for i in want)
+    assert sorted(map(tuple, neardup.near_duplicates(df, 0.93, block=48, exact=True).collect())) == sorted(want.values())
     assert sum(got[i]["n_links"] for i in want) >= 0.9 * sum(w[1] for w in want.values())
 
 
@@ -176,13 +177,27 @@ def test_groups_of_many_blocks_keep_all_links(spark, monkeypatch, bytes_of_chunk
     assert sorted(map(tuple, got.collect())) == _plain_near(rows, 0.93)
 
 
-def test_a_group_larger_than_the_default_block_keeps_all_links(spark):
-    rng = np.random.default_rng(10)
-    x = np.float32(rng.standard_normal(32) + rng.standard_normal((20_000, 32)) * 0.2).astype(float)
+def _recall(spark, x):
+    """The share of links found with the shipped blocks, among vectors of one label."""
     df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = sum(int((u[at : at + 500] @ u.T >= 0.93).sum()) for at in range(0, len(u), 500)) - len(u)
-    assert sum(r["n_links"] for r in neardup.near_duplicates(df, 0.93).select("n_links").collect()) == want
+    found = sum(r["n_links"] for r in neardup.near_duplicates(df, 0.93).select("n_links").collect())
+    return found / want
+
+
+def test_a_group_larger_than_the_default_block_keeps_all_links(spark):
+    rng = np.random.default_rng(10)
+    assert _recall(spark, np.float32(rng.standard_normal(32) + rng.standard_normal((20_000, 32)) * 0.2).astype(float)) == 1
+
+
+@pytest.mark.parametrize("shift", [0.0, 2.0])
+def test_planted_pairs_in_a_label_larger_than_the_default_block(spark, shift):
+    """Pairs of cosine about 0.95 beyond what all share, among vectors with a mean and without."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((10_000, 64))
+    near = base + rng.standard_normal(base.shape) * 0.3
+    assert _recall(spark, np.concatenate([base, near]) + shift * rng.standard_normal(64) / 8) > 0.98
 
 
 def test_top_k_equals_plain_ranking(spark, monkeypatch):
