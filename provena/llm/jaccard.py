@@ -3,9 +3,10 @@
 Equal sets are one set with a count of its documents. The others meet over a distributed
 inverted index of prefixes: the rarest hashes of each set, as many as a partner must share one
 of. Each list is ordered by size and entries are skipped in blocks whose position shows that no
-partner is left; what stays together in a list is a candidate class. Classes are cut into
-chunks of CHUNK sets, ordered by size, and each pair of chunks that can hold a link is a task
-of bounded size. There a set's overlaps with the whole chunk are derived from those of its
+partner is left; what stays together in a list is a candidate class. Entries that must end in one
+class are made one where they arise, so a token that very many sets share makes no long list.
+Classes are cut into chunks of about CHUNK sets or CHUNK_BYTES of hashes, ordered by size, from
+counts of their sizes; each pair of chunks that can hold a link is a task of bounded size. There a set's overlaps with the whole chunk are derived from those of its
 most similar predecessor, through the index lists of the few hashes in which the two differ.
 No pair of sets is ever a row: tasks return counts of links and the edges of a forest.
 
@@ -30,12 +31,17 @@ from provena.llm.shingles import mix, set_id, shingle_set, word_hashes
 SLOTS = 1 << 20
 SEGMENTS = 64
 CHUNK = 1024
+CHUNK_BYTES = 8 << 20
+#: Bytes of hashes that one task compares, about; more tasks are made for more.
+TASK_BYTES = 16 << 20
+#: Counter tables of tasks that are added up in one step.
+TABLES = 256
 #: Prefix entries of one task, about, and of one flush of a task that makes them.
 LIST_ENTRIES = 400_000
 FLUSH_ENTRIES = 1 << 18
 
 FACTS = "kind int, doc_id long, n long, uid long, segment int, counts binary"
-ENTRIES = "part int, tokens binary, uids binary, sizes binary, places binary"
+ENTRIES = "kind int, part int, tokens binary, uids binary, sizes binary, reach binary"
 SETS = "cluster long, c1 int, c2 int, side int, uid long, docs long, hashes binary"
 FOUND = "a long, b long, links long"
 
@@ -62,9 +68,11 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 
 def first_pass(width: int):
-    """Sizes and names of sets; at a task's end the counters of its shingles."""
+    """Sizes and names of sets; at a task's end the counters of its shingles, with the task's number as n."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         counts = np.zeros(SLOTS, np.int64)
         some = False
         none = lambda n, kind: pa.nulls(n, kind)
@@ -85,28 +93,52 @@ def first_pass(width: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], ["kind", "doc_id", "n", "uid", "segment", "counts"])
         if some:
             cut = [np.minimum(c, 2**32 - 1).astype("<u4").tobytes() for c in np.split(counts, SEGMENTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), *[none(SEGMENTS, pa.int64())] * 3, pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(cut, pa.binary())], ["kind", "doc_id", "n", "uid", "segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), none(SEGMENTS, pa.int64()), pa.array(np.full(SEGMENTS, TaskContext.get().partitionId(), np.int64)), none(SEGMENTS, pa.int64()), pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(cut, pa.binary())], ["kind", "doc_id", "n", "uid", "segment", "counts"])
         batches.trim()
 
     return run
 
 
 def order_table(facts: DataFrame) -> np.ndarray:
-    """The SLOTS counters, cut to 16 bits."""
+    """The SLOTS counters, cut to 16 bits. Tasks' tables are added up in a tree, TABLES at a time."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"segment": table.column("segment").slice(0, 1), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
-
-    summed = facts.where("kind = 1").select("segment", "counts").groupBy("segment").applyInArrow(add, "segment int, counts binary")
-    rows = sorted(summed.collect())  # SEGMENTS rows of fixed size
-    counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]) if rows else np.zeros(SLOTS, np.uint32)
+        total = np.zeros(SLOTS // SEGMENTS, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), "<u4")
+        cut = np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
+        return pa.table({"segment": table.column("segment").slice(0, 1), "task": pa.array([table.column("task")[0].as_py()], pa.int64()), "counts": pa.array([cut], pa.binary())})
+
+    summed = facts.where("kind = 1").select("segment", F.col("n").alias("task"), "counts")
+    most = summed.agg(F.max("task")).first()[0] or 0
+    while most > 0:
+        summed = summed.withColumn("task", F.expr(f"task div {TABLES}")).groupBy("segment", "task").applyInArrow(add, "segment int, task long, counts binary")
+        most //= TABLES
+    rows = sorted((r["segment"], r["counts"]) for r in summed.collect())  # SEGMENTS rows of fixed size
+    counts = np.concatenate([np.frombuffer(c, "<u4") for _, c in rows]) if rows else np.zeros(SLOTS, np.uint32)
     # Counts matter relative to each other; 16 bits keep their order to within a hundredth.
     return np.minimum(np.log1p(counts.astype(np.float64)) * 2900, 65535).astype(np.uint16)
 
 
+def _lone(tokens: np.ndarray, uids: np.ndarray, sizes: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries sorted by token and size, with those of one token and size that reach each other made one, and edges that join their sets."""
+    by = np.lexsort((-reach, sizes, tokens))
+    tokens, uids, sizes, reach = tokens[by], uids[by], sizes[by], reach[by]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (sizes[1:] != sizes[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(tokens)), 0))
+    same = ~new & (reach >= sizes)  # the head reaches as far at least
+    keep = ~same
+    return tokens[keep], uids[keep], sizes[keep], reach[keep], uids[same], uids[head[same]]
+
+
 def second_pass(width: int, num: int, den: int, order, parts_n: int):
-    """Prefix entries of the sets, packed by the part of the index that they belong to."""
+    """Prefix entries of the sets, packed by the part of the index that they belong to (kind 0), and edges (kind 1: ends in tokens and uids).
+
+    A partner of size m needs num * (n + m) <= (num + den) * overlap, and a pair's overlap is at
+    most what either has from the first shared place on. So ``reach`` is the largest partner an
+    entry can have at its place; entries whose reach ends before their smallest partner go.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = order.value
@@ -114,13 +146,19 @@ def second_pass(width: int, num: int, den: int, order, parts_n: int):
         size = 0
         seen: set[int] = set()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             tokens, uids, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (mix(tokens) % np.uint64(parts_n)).astype(np.int32)
-            by = np.argsort(part, kind="stable")
-            own, at = np.unique(part[by], return_index=True)
-            cut = lambda x, t: pa.array([c.astype(t).tobytes() for c in np.split(x[by], at[1:])], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(own), cut(tokens, "<u8"), cut(uids, "<i8"), cut(sizes, "<i4"), cut(places, "<i4")], ["part", "tokens", "uids", "sizes", "places"])
+            reach = (sizes - places) * (num + den) // num - sizes
+            some = reach * den >= sizes * num
+            tokens, uids, sizes, reach, a, b = _lone(tokens[some], uids[some], sizes[some], reach[some])
+            for kind, x, y, more in ((0, tokens, uids, (sizes, reach)), (1, a.view(np.uint64), b, (a[:0], a[:0]))):
+                if not len(x):
+                    continue
+                part = (mix(x) % np.uint64(parts_n)).astype(np.int32)
+                by = np.argsort(part, kind="stable")
+                own, at = np.unique(part[by], return_index=True)
+                cut = lambda v, t: pa.array([c.astype(t).tobytes() for c in np.split(v[by], at[1:])] if len(v) else [b""] * len(own), pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), cut(x, "<u8"), cut(y, "<i8"), *[cut(v, "<i4") for v in more]], ["kind", "part", "tokens", "uids", "sizes", "reach"])
 
         for batch in parts:
             for s in _sets(batch, width):
@@ -138,43 +176,40 @@ def second_pass(width: int, num: int, den: int, order, parts_n: int):
                 else:
                     few = np.arange(n)
                 first = few[np.lexsort((s[few], rank[few]))][:k]
-                held.append((s[first], np.full(k, uid, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
+                held.append((s[first], np.full(k, uid, np.int64), np.full(k, n, np.int64), np.arange(k)))
                 size += k
                 if size >= FLUSH_ENTRIES:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
         batches.trim()
 
     return run
 
 
-def candidate_classes(num: int, den: int):
+def candidate_classes():
     """Edges that join the sets of each index list that may be linked there.
 
-    A partner of size m needs num * (n + m) <= (num + den) * overlap, and a pair's overlap is at
-    most what either has from the first shared place on. So ``reach`` is the largest partner an
-    entry can have at its place. Over a list ordered by size, entries whose reach ends before
-    their smallest partner are skipped as blocks, and a run ends where the next size is beyond
-    the reach of all before it.
+    Over a list ordered by size, a run ends where the next size is beyond the reach of all before
+    it: the block behind it is skipped for them.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in parts:
             for r in batch.to_pylist():
-                held.append((np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["uids"], "<i8"), np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["places"], "<i4")))
+                tokens, uids = np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["uids"], "<i8")
+                if r["kind"]:
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view("<i8")), pa.array(uids)], ["a", "b"])
+                else:
+                    held.append((tokens, uids, np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["reach"], "<i4")))
         if not held:
             return
-        tokens, uids, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        tokens, uids, sizes, reach = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
-        sizes = sizes.astype(np.int64)
-        reach = (sizes - places) * (num + den) // num - sizes
-        keep = reach * den >= sizes * num
-        tokens, uids, sizes, reach = tokens[keep], uids[keep], sizes[keep], reach[keep]
         by = np.lexsort((uids, sizes, tokens))
-        tokens, uids, sizes, reach = tokens[by], uids[by], sizes[by], reach[by]
+        tokens, uids, sizes, reach = tokens[by], uids[by], sizes[by].astype(np.int64), reach[by].astype(np.int64)
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (uids[1:] != uids[:-1])  # copies came from several tasks
         tokens, uids, sizes, reach = tokens[new], uids[new], sizes[new], reach[new]
@@ -352,20 +387,30 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     total = ids.agg(F.sum("n")).first()[0] or 0
     parts_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * (den - num) // den // LIST_ENTRIES))
     entries = docs.mapInArrow(second_pass(width, num, den, order, parts_n), ENTRIES)
-    edges = entries.repartition(parts_n, "part").mapInArrow(candidate_classes(num, den), "a long, b long")
+    edges = entries.repartition(parts_n, "part").mapInArrow(candidate_classes(), "a long, b long")
     clusters = connected_components(edges)
     copies = ids.where("n > 0").groupBy("uid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
     members = clusters.join(copies, clusters["id"] == copies["uid"]).select(F.col("component").alias("cluster"), "uid", "n", "rep", "docs")
-    at = F.row_number().over(W.partitionBy("cluster").orderBy("n", "uid"))
-    members = scratch.materialize(members.withColumn("chunk", ((at - 1) / CHUNK).cast("int")), "set_members")
-    sizes = members.groupBy("cluster", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # A set's place in its cluster's order by size: what smaller sets weigh, and its share by hash of what those of its size weigh.
+    heavy = F.greatest(F.lit(1 / CHUNK), 8 * F.col("n") / F.lit(CHUNK_BYTES))
+    before = W.partitionBy("h").orderBy("m").rowsBetween(W.unboundedPreceding, -1)  # a row for each size in a cluster
+    counted = members.groupBy(F.col("cluster").alias("h"), F.col("n").alias("m")).agg(F.count("*").alias("k"), (F.count("*") * heavy).alias("w"))
+    counted = counted.select("h", "m", "k", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("start"))
+    members = members.join(counted, (F.col("cluster") == F.col("h")) & (F.col("n") == F.col("m")))
+    members = members.withColumn("chunk", (F.col("start") + F.pmod(F.xxhash64("uid"), "k") * heavy).cast("int")).drop("h", "m", "k", "start")
+    members = scratch.materialize(members, "set_members")
+    sizes = members.groupBy("cluster", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("sets"), F.sum(8 * F.col("n")).alias("bytes"))
+    sizes = scratch.materialize(sizes, "set_chunks")
     one, two = sizes.select("cluster", F.col("chunk").alias("c1"), F.col("hi").alias("hi1")), sizes.select(F.col("cluster").alias("k"), F.col("chunk").alias("c2"), F.col("lo").alias("lo2"))
     tasks = one.join(two, F.col("cluster") == F.col("k")).where((F.col("c1") <= F.col("c2")) & (F.col("lo2") * num <= F.col("hi1") * den))
     tasks = tasks.select(F.col("cluster").alias("k"), F.struct("c1", "c2").alias("t"), F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).groupBy("k", "c").agg(F.collect_list("t").alias("tasks"))
+    tasks = scratch.materialize(tasks, "set_tasks")
+    volume = tasks.join(sizes, (F.col("k") == sizes["cluster"]) & (F.col("c") == sizes["chunk"])).agg(F.sum(F.col("bytes") * F.size("tasks"))).first()[0] or 0
+    dealt_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // TASK_BYTES))
     wanted = members.join(tasks, (members["cluster"] == F.col("k")) & (members["chunk"] == F.col("c"))).select("cluster", "chunk", "uid", "docs", "tasks", "rep")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("doc_id", "text", "cluster", "chunk", "uid", "docs", "tasks")
     sets = texts.mapInArrow(set_maker(width), SETS)
-    dealt = sets.repartition("cluster", "c1", "c2").sortWithinPartitions("cluster", "c1", "c2")
+    dealt = sets.repartition(dealt_n, "cluster", "c1", "c2").sortWithinPartitions("cluster", "c1", "c2")
     found = scratch.materialize(dealt.mapInArrow(solver(num, den), FOUND), "set_links")
     parts = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("l_uid"), "links")
