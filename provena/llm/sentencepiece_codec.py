@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a batched Viterbi in numpy.
 
-Texts are cut where no piece can cross: before a run of word marks, and around line breaks.
+Texts are cut where no piece can cross: before a run of word marks, around line breaks, and in long
+stretches without either between any two characters that stand together in no piece.
 Distinct segments of equal length are rows of a matrix of code points and advance together:
 at each place, substrings of every piece length are hashed from running sums, the hashes probe
 the model's sorted keys, and the maximum over the lengths gives a row's backpointer.
@@ -10,6 +11,8 @@ scores. For a merge (BPE) model sums of scores are not what its merges maximise;
 is allowed where merging the two neighbouring pieces' text alone gives just these two pieces.
 A sequence whose neighbours are all allowed is the merges' result, and there is one for each
 prefix, so the same recursion finds it exactly. Unknown characters become byte pieces.
+Where few long segments have a length, a step of numpy has too few rows to pay: the same recursion
+goes through them one character at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ PAIRS = 1 << 19
 ROWS = 8192
 #: Characters whose segments are held at a time; more make longer matrices, and fewer steps.
 SLICE_CHARS = 3 << 20
+#: Characters of a segment that is long, and how many of one length make a matrix.
+LONG = 48
+FEW = 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _UNIGRAM, _MERGES = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -85,6 +91,9 @@ class Model:
         self.some = np.zeros(1 << 20, bool)  # leading bits of the keys: most substrings are no piece, and need no search
         self.some[self.keys >> np.uint64(44)] = True
         self.by_text = {self.pieces[i]: i for i in normal}
+        inside = {p[k : k + 2] for p in self.by_text for k in range(len(p) - 1)}
+        self.together = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in inside], np.int64))
+        self.known_points = np.sort(np.array([ord(p) for p in self.by_text if len(p) == 1], np.int64))
         # Pieces that stand for their own text: all but the unknown piece and bytes above ASCII.
         self.odd = np.array([t == _UNKNOWN or (t == _BYTE and int(p[1:-1], 16) > 127) for p, t in zip(self.pieces, self.types, strict=True)])
         self.plain = [p.replace(MARK, " ") if t == _NORMAL else chr(int(p[1:-1], 16)) if t == _BYTE else "" for p, t in zip(self.pieces, self.types, strict=True)]
@@ -96,6 +105,16 @@ class Model:
         ends = "".join(re.escape(c) for c in ".,;:!?)" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", self.pieces[i]) for i in normal))
         self.segment = re.compile((rf"{MARK}*[^\W\d_]+(?=[{ends}])|" if ends else "") + f"{MARK}*[^{MARK}{self.breaks}]+|{MARK}+" + (f"|[{self.breaks}]" if self.breaks else ""))
 
+    def parts(self, text: str) -> list[str]:
+        """A stretch cut between characters that no piece has together; a run of unknown characters stays whole."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        cut = ~np.isin(points[:-1] << 21 | points[1:], self.together)
+        if not self.bytes_at:
+            known = np.isin(points, self.known_points)
+            cut &= known[:-1] | known[1:]
+        ends = [0, *(np.flatnonzero(cut) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     @staticmethod
     def hashes(points: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
         """(n, hashes of all substrings of n code points of each row) for n from 1; each from the shorter ones."""
@@ -167,6 +186,7 @@ class Codec:
         self.model, self.known = model, {}
         self.pairs = np.full(PAIRS, -1, np.int64)  # neighbours by a hash's place, the last that came there
         self.answers = np.zeros(PAIRS, bool)
+        self.alone: dict[int, bool] = {}  # the same for neighbours met one at a time
 
     def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging leaves the neighbours as they are. Ids; -1: an unknown character, -2: the text's start."""
@@ -241,6 +261,45 @@ class Codec:
         narrow = path.astype(np.int32)
         return [self._spelt(path[r, length - c :].tolist()) if o else narrow[r, length - c :].tobytes() for r, c, o in zip(every.tolist(), counts.tolist(), odd.tolist(), strict=True)]
 
+    def _viterbi_one(self, word: str) -> bytes:
+        """As _viterbi(), of one long word, without a step of numpy for each character."""
+        m, merges = self.model, self.model.kind == _MERGES
+        get, scores, wide = m.by_text.get, m.scores, len(m.pieces) + 2
+        lengths = m.lengths[::-1]
+        penalty = float(m.scores[m.ids].min()) - 10
+        best, last, back = [0.0] + [-np.inf] * len(word), [-2] * (len(word) + 1), [0] * (len(word) + 1)
+        for end in range(1, len(word) + 1):
+            for n in lengths:
+                i = get(word[end - n : end]) if n <= end else None
+                if i is None:
+                    continue
+                if merges:
+                    left = last[end - n]
+                    if left != -1:
+                        key = (left + 2) * wide + i
+                        ok = self.alone.get(key)
+                        if ok is None:
+                            if len(self.alone) > 1 << 20:
+                                self.alone.clear()
+                            pieces = [m.pieces[x] for x in (left, i) if x >= 0]
+                            ok = self.alone[key] = m.merged("".join(pieces)) == pieces
+                        if not ok:
+                            continue
+                    last[end], back[end] = i, n
+                    break
+                value = best[end - n] + scores[i]
+                if value > best[end]:
+                    best[end], last[end], back[end] = value, i, n
+            if get(word[end - 1]) is None and (not back[end] if merges else best[end - 1] + penalty > best[end]):
+                best[end], last[end], back[end] = best[end - 1] + penalty, -1, 1
+            if not back[end]:
+                raise ValueError("a segment has no path")
+        path, at = [], len(word)
+        while at:
+            path.append(last[at] if last[at] >= 0 else -1 - ord(word[at - 1]))
+            at -= back[at]
+        return self._spelt(path[::-1])
+
     def _spelt(self, ids: list[int]) -> bytes:
         """Unknown characters (-1 - code point) as byte pieces, or the unknown piece for each run of them."""
         out: list[int] = []
@@ -269,12 +328,18 @@ class Codec:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         m = self.model
         cut = [m.segment.findall((MARK if m.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
+        for segments in cut:
+            if segments and max(map(len, segments)) > LONG:
+                segments[:] = chain.from_iterable(m.parts(s) if len(s) > LONG else (s,) for s in segments)
         if len(self.known) > MEMORY:
             self.known.clear()
         by_length: dict[int, list[str]] = {}
         for s in set(chain.from_iterable(cut)).difference(self.known):
             by_length.setdefault(len(s), []).append(s)
         for words in by_length.values():
+            if len(words[0]) > LONG and len(words) < FEW:
+                self.known.update((w, self._viterbi_one(w)) for w in words)
+                continue
             step = max(1, min(ROWS, (1 << 20) // len(words[0])))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
@@ -318,9 +383,10 @@ def _worker(shared) -> Codec:
 def encode(df: DataFrame, model: Model, text: str = "text", verify: bool = False) -> DataFrame:
     """``df`` with ``ids`` (array of int) in place of any such column; null texts get null, empty ones no ids.
 
-    ``verify`` adds ``round_trip`` (boolean): the ids decode to the text again. Repeated rows are
-    encoded each; other columns pass as they are. A pass without a shuffle; the model, of the
-    file's size, is broadcast.
+    ``verify`` adds ``round_trip`` (boolean): the ids decode to the text again; it is true for
+    nulls. Texts are encoded whole, however long. Repeated rows are encoded each; an empty table
+    gives none; other columns pass as they are, whatever their names. A pass without a shuffle;
+    the model, of the file's size, is broadcast.
     """
     batches.bound(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -340,12 +406,17 @@ def encode(df: DataFrame, model: Model, text: str = "text", verify: bool = False
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
         batches.trim()
 
-    out = df.drop("ids").withColumn("__e", encoded(F.col(f"`{text}`"))).withColumn("ids", F.col("__e.ids"))
-    return (out.withColumn("round_trip", F.col("__e.round_trip")) if verify else out).drop("__e")
+    new = ["ids", "round_trip"] if verify else ["ids"]
+    (held,) = batches.free_names(df, "encoded")
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in new]
+    return df.withColumn(held, encoded(F.col(f"`{text}`"))).select(*keep, *[F.col(f"`{held}`")[c].alias(c) for c in new])
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
-    """``df`` with ``decoded`` (string); null ids get null."""
+    """``df`` with ``decoded`` (string) in place of any such column; null ids get null, no ids the empty string.
+
+    Repeated rows are decoded each; an empty table gives none; other columns pass as they are.
+    """
     batches.bound(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -215,6 +215,22 @@ def test_merges_equal_the_library(texts):
     assert [codec.decode(x) for x in got] == [lib.decode(x.tolist()) for x in got] == texts
 
 
+def test_unbroken_texts_equal_the_library_in_time():
+    import sentencepiece
+
+    lib, codec, rng = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL), sp.Codec(sp.load()), random.Random(5)
+    cjk = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(350_000))  # a megabyte
+    few = [chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(300)]
+    texts = ["".join(rng.choice(few) for _ in range(50_000)), "aé漢" * 3000, "x" * 20_000, "".join(rng.choice("abcdefghijklmnop/+=AB12") for _ in range(4000)), "的是一不了人我在有他这中大来上国" * 500, "the" * 5000]
+    for t in texts:
+        (got,) = codec.encode([t])
+        assert got.tolist() == lib.encode(t) and codec.decode(got) == t
+    began = time.perf_counter()
+    (got,) = codec.encode([cjk])
+    assert time.perf_counter() - began < 10
+    assert got.tolist() == lib.encode(cjk)
+
+
 def test_unigram_paths_equal_a_plain_viterbi(texts, tmp_path):
     """The same pieces as a unigram model: sums of scores over whole texts, one character at a time."""
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -244,7 +260,9 @@ def test_unigram_paths_equal_a_plain_viterbi(texts, tmp_path):
 def test_encode_and_decode_rows(spark):
     model = sp.load()
     rows = [(1, "Hello world", "x"), (1, "Hello world", "x"), (2, None, "x"), (3, "", "x"), (4, "long " * 50_000, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    rows = [(*r, "kept") for r in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, encoded string")
+    assert {r["encoded"] for r in sp.encode(df, model).collect()} == {"kept"}
     out = sp.decode(sp.encode(df, model, verify=True), model).collect()
     assert sorted((r["doc_id"], r["decoded"] or "") for r in out) == sorted((r[0], r[1] or "") for r in rows)
     assert all(r["round_trip"] for r in out) and [r["ids"] for r in out if r["doc_id"] == 2] == [None] and [r["ids"] for r in out if r["doc_id"] == 3] == [[]]
