@@ -30,7 +30,7 @@ from provena.llm.shingles import mix, set_id, shingle_set, word_hashes
 
 SLOTS = 1 << 20
 SEGMENTS = 64
-CHUNK = 1024
+CHUNK = 2048
 CHUNK_BYTES = 8 << 20
 #: Bytes of hashes that one task compares, about; more tasks are made for more.
 TASK_BYTES = 16 << 20
@@ -120,16 +120,28 @@ def order_table(facts: DataFrame) -> np.ndarray:
     return np.minimum(np.log1p(counts.astype(np.float64)) * 2900, 65535).astype(np.uint16)
 
 
-def _lone(tokens: np.ndarray, uids: np.ndarray, sizes: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries sorted by token and size, with those of one token and size that reach each other made one, and edges that join their sets."""
+def _lone(tokens: np.ndarray, uids: np.ndarray, sizes: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which entries stay when those of one token and size that reach each other are made one, and edges that join their sets."""
     by = np.lexsort((-reach, sizes, tokens))
-    tokens, uids, sizes, reach = tokens[by], uids[by], sizes[by], reach[by]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (sizes[1:] != sizes[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(tokens)), 0))
-    same = ~new & (reach >= sizes)  # the head reaches as far at least
-    keep = ~same
-    return tokens[keep], uids[keep], sizes[keep], reach[keep], uids[same], uids[head[same]]
+    new = np.ones(len(by), bool)
+    new[1:] = (tokens[by[1:]] != tokens[by[:-1]]) | (sizes[by[1:]] != sizes[by[:-1]])
+    head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    same = ~new & (reach[by] >= sizes[by])  # the head reaches as far at least
+    keep = np.ones(len(by), bool)
+    keep[by[same]] = False
+    pairs = np.unique(np.stack([uids[by[same]], uids[head[same]]]), axis=1)
+    return keep, pairs[0], pairs[1]
+
+
+def _six(tokens: np.ndarray) -> bytes:
+    """Six bytes of each hash: hashes that share them only add candidates."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
 
 
 def second_pass(width: int, num: int, den: int, order, parts_n: int):
@@ -150,7 +162,9 @@ def second_pass(width: int, num: int, den: int, order, parts_n: int):
             tokens, uids, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
             reach = (sizes - places) * (num + den) // num - sizes
             some = reach * den >= sizes * num
-            tokens, uids, sizes, reach, a, b = _lone(tokens[some], uids[some], sizes[some], reach[some])
+            tokens, uids, sizes, reach = tokens[some] >> np.uint64(16) << np.uint64(16), uids[some], sizes[some], reach[some]
+            keep, a, b = _lone(tokens, uids, sizes, reach)
+            tokens, uids, sizes, reach = tokens[keep], uids[keep], sizes[keep], reach[keep]  # set by set, which packs well
             for kind, x, y, more in ((0, tokens, uids, (sizes, reach)), (1, a.view(np.uint64), b, (a[:0], a[:0]))):
                 if not len(x):
                     continue
@@ -158,7 +172,7 @@ def second_pass(width: int, num: int, den: int, order, parts_n: int):
                 by = np.argsort(part, kind="stable")
                 own, at = np.unique(part[by], return_index=True)
                 cut = lambda v, t: pa.array([c.astype(t).tobytes() for c in np.split(v[by], at[1:])] if len(v) else [b""] * len(own), pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), cut(x, "<u8"), cut(y, "<i8"), *[cut(v, "<i4") for v in more]], ["kind", "part", "tokens", "uids", "sizes", "reach"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), cut(x, "<u8") if kind else pa.array([_six(c) for c in np.split(x[by], at[1:])], pa.binary()), cut(y, "<i8"), *[cut(v, "<i4") for v in more]], ["kind", "part", "tokens", "uids", "sizes", "reach"])
 
         for batch in parts:
             for s in _sets(batch, width):
@@ -199,11 +213,11 @@ def candidate_classes():
         held: list[tuple] = []
         for batch in parts:
             for r in batch.to_pylist():
-                tokens, uids = np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["uids"], "<i8")
+                uids = np.frombuffer(r["uids"], "<i8")
                 if r["kind"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view("<i8")), pa.array(uids)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["tokens"], "<i8")), pa.array(uids)], ["a", "b"])
                 else:
-                    held.append((tokens, uids, np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["reach"], "<i4")))
+                    held.append((_from_six(r["tokens"]), uids, np.frombuffer(r["sizes"], "<i4"), np.frombuffer(r["reach"], "<i4")))
         if not held:
             return
         tokens, uids, sizes, reach = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -257,7 +271,7 @@ def overlaps(sets: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
         where = np.repeat(at[i] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         return np.bincount(owner[where], minlength=len(sets))
 
-    out = np.zeros((len(probes), len(sets)), np.int64)
+    out = np.zeros((len(probes), len(sets)), np.int32)
     same = sets is probes
     last = None
     for k, p in enumerate(probes):
@@ -292,7 +306,10 @@ def solver(num: int, den: int):
         probes = sets if left is right else [np.frombuffer(r["hashes"], "<u8") for r in right]
         o = overlaps(sets, probes)
         n, m = np.array([len(s) for s in sets]), np.array([len(s) for s in probes])
-        linked = den * o >= num * (m[:, None] + n[None, :] - o)
+        linked = np.empty(o.shape, bool)
+        for r in range(0, len(m), 256):
+            part = o[r : r + 256].astype(np.int64)
+            linked[r : r + 256] = den * part >= num * (m[r : r + 256, None] + n - part)
         if left is right:
             np.fill_diagonal(linked, False)
         uids, other = np.array([r["uid"] for r in left]), np.array([r["uid"] for r in right])
