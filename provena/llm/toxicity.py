@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from provena.llm import batches, scratch
 from provena.llm.shingles import SLICE_BYTES, mix, span_hashes
 
-MAX_TOXIC = 1500
-MAX_CLEAN = 3000
+MAX_TOXIC = 1000
+MAX_CLEAN = 2000
 #: Terms of all examples together; examples beyond that, in order of hash, are left out.
-MAX_TERMS = 8_000_000
+MAX_TERMS = 5_000_000
 K = 25
 BLOCK = 64
 #: Blocks after which a query's bounds are compared anew, and what rounding may add to a score.
@@ -337,6 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         return build([], [], [], prior)
     index = build(bags, ys, found.column("doc_id").to_pylist(), prior)
     del found, bags
+    batches.trim()
     index.curve = _calibrated(index, packed, counts)
     scratch.drop(packed)
     return index
