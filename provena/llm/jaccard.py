@@ -30,8 +30,8 @@ from provena.llm.shingles import mix, set_id, shingle_set, word_hashes
 
 SLOTS = 1 << 20
 SEGMENTS = 64
-CHUNK = 2048
-CHUNK_BYTES = 8 << 20
+CHUNK = 4096
+CHUNK_BYTES = 16 << 20
 #: Bytes of hashes that one task compares, about; more tasks are made for more.
 TASK_BYTES = 16 << 20
 #: Counter tables of tasks that are added up in one step.
