@@ -36,6 +36,8 @@ CHUNK_BYTES = 16 << 20
 TASK_BYTES = 16 << 20
 #: Counter tables of tasks that are added up in one step.
 TABLES = 256
+#: Ids that are broadcast to filter texts, at most (about 120 MB: 6 MB were measured for 50,000); more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 #: Prefix entries of one task, about, and of one flush of a task that makes them.
 LIST_ENTRIES = 400_000
 FLUSH_ENTRIES = 1 << 18
@@ -425,6 +427,8 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     volume = tasks.join(sizes, (F.col("k") == sizes["cluster"]) & (F.col("c") == sizes["chunk"])).agg(F.sum(F.col("bytes") * F.size("tasks"))).first()[0] or 0
     dealt_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // TASK_BYTES))
     wanted = members.join(tasks, (members["cluster"] == F.col("k")) & (members["chunk"] == F.col("c"))).select("cluster", "chunk", "uid", "docs", "tasks", "rep")
+    if members.count() <= BROADCAST_IDS:  # only candidates' texts are shuffled
+        docs = docs.join(F.broadcast(members.select(F.col("rep").alias("r"))), docs["doc_id"].eqNullSafe(F.col("r")), "left_semi")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("doc_id", "text", "cluster", "chunk", "uid", "docs", "tasks")
     sets = texts.mapInArrow(set_maker(width), SETS)
     dealt = sets.repartition(dealt_n, "cluster", "c1", "c2").sortWithinPartitions("cluster", "c1", "c2")
@@ -440,6 +444,11 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return some.unionByName(none)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if they are no more than BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the smallest doc_id.
 
@@ -449,9 +458,9 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     found = link(docs.select("doc_id", "text"), width, num, den)
     by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"), F.count("*").alias("rows"))
     by_id = scratch.materialize(by_id, "kept_ids")
-    gone = by_id.where("not first").select(F.col("doc_id").alias("gone_id"))
+    gone = _few(by_id.where("not first").select(F.col("doc_id").alias("gone_id")))
     stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    again = by_id.where("first and rows > 1").select(F.col("doc_id").alias("again_id"))
+    again = _few(by_id.where("first and rows > 1").select(F.col("doc_id").alias("again_id")))
     single = stay.join(again, stay["doc_id"].eqNullSafe(again["again_id"]), "left_anti")
     return single.unionByName(stay.join(again, stay["doc_id"].eqNullSafe(again["again_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
 

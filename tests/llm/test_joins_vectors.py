@@ -88,8 +88,10 @@ def test_links_equal_all_pairs(spark, monkeypatch, width, num, den):
     assert got == _plain_link(rows, width, num, den)
 
 
-def test_classes_larger_than_a_chunk(spark, monkeypatch):
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_classes_larger_than_a_chunk(spark, monkeypatch, held):
     monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", held)
     rng = random.Random(4)
     rows = list(enumerate(_family(rng, [f"w{i}" for i in range(80)], 150, 7)))
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect())
@@ -102,7 +104,9 @@ def test_no_documents_have_no_links(spark):
     assert jaccard.one_of_each(empty).count() == 0
 
 
-def test_one_of_each(spark):
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_one_of_each(spark, monkeypatch, held):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", held)
     a, b = "a b c d e f g h i j k l m n o p q r s t", "z y x w v u t s r q p o n m"
     rows = [(4, a, "x"), (2, a, "y"), (9, b, "z"), (9, b, "z"), (11, "", "e"), (12, None, "e")]
     out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, component_id string")).collect()
