@@ -34,7 +34,7 @@ def _rows():
     return rows + [(None, "x\ny\nz"), (None, None), (7, None), (8, ""), (9, "\n"), (9, "\n"), (10, "no feed"), (11, "<P> in it\n"), (12, "<\nP>"), (13, "long line " * 50_000 + "\n" + "short\n" * 100_000)]
 
 
-@pytest.mark.parametrize("options", [{}, {"rate": 40, "spm": 0, "seed": 3}, {"unit": r"[\s\S]", "spm": 100}, {"unit": r"\S+\s*", "seed": -1}])
+@pytest.mark.parametrize("options", [{}, {"rate": 40, "spm": 0, "seed": 3}, {"unit": r"[\s\S]", "spm": 100}, {"unit": r"\S+|\s+", "seed": -1}])
 def test_against_lists_of_units_and_back(spark, options):
     rows = _rows()
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, form int").withColumnRenamed("form", "row")
