@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["sharding", "mixing", "topk", "secrets", "warc", "jaccard", "neardup", "toxicity", "sentencepiece_codec", "html_text", "infill", "token_alignment"]
+MODULES = ["sharding", "mixing", "topk", "secrets", "warc", "jaccard", "neardup", "toxicity", "sentencepiece_codec", "html_text", "infill", "token_alignment", "personal"]
 
 
 def load() -> tuple[dict, dict]:
