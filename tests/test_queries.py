@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_query_is_registered():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
-    assert set(QUERIES) - set(ORACLE_SQL) == {"font_context"}
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):
