@@ -42,7 +42,7 @@ BROADCAST_IDS = 1_000_000
 LIST_ENTRIES = 400_000
 FLUSH_ENTRIES = 1 << 18
 
-FACTS = "kind int, doc_id long, n long, uid long, segment int, counts binary"
+FACTS = "kind int, doc_id long, n long, uid long, text_hash long, segment int, counts binary"
 ENTRIES = "kind int, part int, tokens binary, uids binary, sizes binary, reach binary"
 SETS = "cluster long, c1 int, c2 int, side int, uid long, docs long, hashes binary"
 FOUND = "a long, b long, links long"
@@ -77,6 +77,7 @@ def first_pass(width: int):
 
         counts = np.zeros(SLOTS, np.int64)
         some = False
+        names = ["kind", "doc_id", "n", "uid", "text_hash", "segment", "counts"]
         none = lambda n, kind: pa.nulls(n, kind)
         for batch in parts:
             ns, ids, held, size = [], [], [], 0
@@ -92,10 +93,10 @@ def first_pass(width: int):
                 counts += np.bincount(np.concatenate(held), minlength=SLOTS)
             some = some or bool(ns)
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), none(n, pa.int32()), none(n, pa.binary())], ["kind", "doc_id", "n", "uid", "segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), batch.column(2), none(n, pa.int32()), none(n, pa.binary())], names)
         if some:
             cut = [np.minimum(c, 2**32 - 1).astype("<u4").tobytes() for c in np.split(counts, SEGMENTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), none(SEGMENTS, pa.int64()), pa.array(np.full(SEGMENTS, TaskContext.get().partitionId(), np.int64)), none(SEGMENTS, pa.int64()), pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(cut, pa.binary())], ["kind", "doc_id", "n", "uid", "segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SEGMENTS, np.int32)), none(SEGMENTS, pa.int64()), pa.array(np.full(SEGMENTS, TaskContext.get().partitionId(), np.int64)), none(SEGMENTS, pa.int64()), none(SEGMENTS, pa.int64()), pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(cut, pa.binary())], names)
         batches.trim()
 
     return run
@@ -373,7 +374,7 @@ def set_maker(width: int):
             rows, size = [], 0
             for r, s in zip(facts, _sets(batch, width), strict=True):
                 if set_id(s) != r["uid"]:
-                    continue  # another document with the same id
+                    continue  # another text with the same id and hash
                 data = s.astype("<u8").tobytes()
                 for t in r["tasks"]:
                     rows.append((r["cluster"], t["c1"], t["c2"], int(t["c1"] != r["chunk"]), r["uid"], r["docs"], data))
@@ -400,16 +401,20 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     batches.bound(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = scratch.materialize(docs.mapInArrow(first_pass(width), FACTS), "set_facts")
-    ids = facts.where("kind = 0").select("doc_id", "n", "uid")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    facts = scratch.materialize(hashed.mapInArrow(first_pass(width), FACTS), "set_facts")
+    ids = facts.where("kind = 0").select("doc_id", "n", "uid", "text_hash")
     order = spark.sparkContext.broadcast(order_table(facts))
     total = ids.agg(F.sum("n")).first()[0] or 0
     parts_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * (den - num) // den // LIST_ENTRIES))
     entries = docs.mapInArrow(second_pass(width, num, den, order, parts_n), ENTRIES)
     edges = entries.repartition(parts_n, "part").mapInArrow(candidate_classes(), "a long, b long")
     clusters = connected_components(edges)
-    copies = ids.where("n > 0").groupBy("uid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
-    members = clusters.join(copies, clusters["id"] == copies["uid"]).select(F.col("component").alias("cluster"), "uid", "n", "rep", "docs")
+    # a set's text is found by the id and the hash of one of its rows: null ids, and ids of many texts, are told apart
+    one_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
+    copies = ids.where("n > 0").groupBy("uid", "n").agg(one_row, F.count("*").alias("docs"))
+    copies = copies.select("uid", "n", F.col("row.doc_id").alias("rep"), F.col("row.text_hash").alias("rep_hash"), "docs")
+    members = clusters.join(copies, clusters["id"] == copies["uid"]).select(F.col("component").alias("cluster"), "uid", "n", "rep", "rep_hash", "docs")
     # A set's place in its cluster's order by size: what smaller sets weigh, and its share by hash of what those of its size weigh.
     heavy = F.greatest(F.lit(1 / CHUNK), 8 * F.col("n") / F.lit(CHUNK_BYTES))
     before = W.partitionBy("h").orderBy("m").rowsBetween(W.unboundedPreceding, -1)  # a row for each size in a cluster
@@ -426,10 +431,11 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     tasks = scratch.materialize(tasks, "set_tasks")
     volume = tasks.join(sizes, (F.col("k") == sizes["cluster"]) & (F.col("c") == sizes["chunk"])).agg(F.sum(F.col("bytes") * F.size("tasks"))).first()[0] or 0
     dealt_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // TASK_BYTES))
-    wanted = members.join(tasks, (members["cluster"] == F.col("k")) & (members["chunk"] == F.col("c"))).select("cluster", "chunk", "uid", "docs", "tasks", "rep")
+    wanted = members.join(tasks, (members["cluster"] == F.col("k")) & (members["chunk"] == F.col("c"))).select("cluster", "chunk", "uid", "docs", "tasks", "rep", "rep_hash")
+    own = lambda rep, of: hashed["text_hash"].eqNullSafe(of) & hashed["doc_id"].eqNullSafe(rep)
     if members.count() <= BROADCAST_IDS:  # only candidates' texts are shuffled
-        docs = docs.join(F.broadcast(members.select(F.col("rep").alias("r"))), docs["doc_id"].eqNullSafe(F.col("r")), "left_semi")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("doc_id", "text", "cluster", "chunk", "uid", "docs", "tasks")
+        hashed = hashed.join(F.broadcast(members.select(F.col("rep").alias("r"), F.col("rep_hash").alias("h"))), own(F.col("r"), F.col("h")), "left_semi")
+    texts = hashed.join(wanted, own(wanted["rep"], wanted["rep_hash"])).select("doc_id", "text", "cluster", "chunk", "uid", "docs", "tasks")
     sets = texts.mapInArrow(set_maker(width), SETS)
     dealt = sets.repartition(dealt_n, "cluster", "c1", "c2").sortWithinPartitions("cluster", "c1", "c2")
     found = scratch.materialize(dealt.mapInArrow(solver(num, den), FOUND), "set_links")

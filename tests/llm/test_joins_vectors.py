@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -224,3 +225,26 @@ def test_best_keeps_smaller_ids_on_ties():
     scores = np.array([[5, 7, 7, 5, 5, 1], [1, 1, 1, 1, 1, 1]])
     s, i = topk.best(scores, np.arange(6), 3)
     assert sorted(zip((-s[0]).tolist(), i[0].tolist(), strict=True)) == [(-7, 1), (-7, 2), (-5, 0)] and i[1].tolist() == [0, 1, 2]
+
+
+def test_near_copies_without_ids_or_under_one_id(spark):
+    """Texts are found by id and hash: shared ids make no pairs of texts, so many take no longer than with ids of their own."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+
+    def copies(n, i):
+        rows = []
+        for k in range(n):
+            own = list(words)
+            own[rng.randrange(400)] = f"x{k}"
+            rows.append((i(k), " ".join(own)))
+        return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    took = {}
+    for name, i in (("warm", lambda k: k), ("own", lambda k: k), ("null", lambda k: None), ("shared", lambda k: 7 if k else 3)):
+        began = time.time()
+        rows = jaccard.link(copies(1500, i), 5, 8, 10).collect()
+        took[name] = time.time() - began
+        assert len(rows) == 1500 and {r["n_links"] for r in rows} == {1499}
+        assert {r["component_id"] for r in rows} == {{"null": None, "shared": 3}.get(name, 0)}
+    assert max(took["null"], took["shared"]) < 3 * took["own"] + 10, took
