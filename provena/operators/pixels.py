@@ -60,6 +60,34 @@ def tile_scores(predictions: DataFrame, labels: list[str]) -> DataFrame:
     return predictions.select("image_id", "x", "y", label_score(F.col("results"), label).alias("score"))
 
 
+#: Rows of a picture whose summed areas are held together.
+BAND = 512
+
+
+def box_means(picture: np.ndarray, again: np.ndarray, boxes: list[tuple[int, int, int, int]], band: int = BAND) -> list[float | None]:
+    """Mean absolute difference of two pictures in each box (x, y, w, h); null where a box has no pixel of them.
+
+    Differences are summed over the picture once, in bands of rows: a box's share of a band is four
+    lookups in its table of summed areas, however large the box. Sums are whole numbers, so they
+    don't hang on the bands; a band is all that is held besides the pictures.
+    """
+    height, width = picture.shape[:2]
+    b = np.array(boxes, np.int64).reshape(-1, 4)
+    x0, y0 = (np.clip(b[:, i], 0, m) for i, m in ((0, width), (1, height)))
+    x1, y1 = (np.clip(b[:, i] + np.maximum(b[:, i + 2], 0), 0, m) for i, m in ((0, width), (1, height)))
+    sums = np.zeros(len(b), np.int64)
+    for top in range(0, height, band):
+        here = np.flatnonzero((y0 < top + band) & (y1 > top))
+        if len(here):
+            part = np.abs(picture[top : top + band].astype(np.int16) - again[top : top + band]).sum(axis=2, dtype=np.int32)
+            table = np.zeros((part.shape[0] + 1, width + 1), np.int64)
+            np.cumsum(np.cumsum(part, axis=0, dtype=np.int64), axis=1, out=table[1:, 1:])
+            low, high = np.clip(y0[here] - top, 0, part.shape[0]), np.clip(y1[here] - top, 0, part.shape[0])
+            sums[here] += table[high, x1[here]] - table[low, x1[here]] - table[high, x0[here]] + table[low, x0[here]]
+    areas = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
+    return [s / (3 * a) if a > 0 else None for s, a in zip(sums.tolist(), areas.tolist(), strict=True)]
+
+
 def word_errors(pages: DataFrame, words: DataFrame, recompress: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
     """The ela_scores relation: mean absolute difference of each word's box after recompression.
 
@@ -76,12 +104,8 @@ def word_errors(pages: DataFrame, words: DataFrame, recompress: Callable[[], Cal
         for part in parts:
             for r in part.itertuples():
                 picture = rgb(bytes(r.data), r.width, r.height, r.nChannels)
-                error = np.abs(picture.astype(np.float32) - again(picture).astype(np.float32)).mean(axis=2)
-                rows = []
-                for w in r.words:
-                    patch = error[max(0, w["y"]) : w["y"] + w["h"], max(0, w["x"]) : w["x"] + w["w"]]
-                    if patch.size:
-                        rows.append((r.doc_id, r.page, w["word_no"], w["text"], w["conf"], w["x"], w["y"], w["w"], w["h"], float(patch.mean())))
+                means = box_means(picture, again(picture), [(w["x"], w["y"], w["w"], w["h"]) for w in r.words])
+                rows = [(r.doc_id, r.page, w["word_no"], w["text"], w["conf"], w["x"], w["y"], w["w"], w["h"], m) for w, m in zip(r.words, means, strict=True) if m is not None]
                 yield pd.DataFrame(rows, columns=names)
 
     kinds = "doc_id long, page int, word_no int, text string, conf double, x int, y int, w int, h int, ela double"
@@ -123,11 +147,41 @@ def highlight(picture: np.ndarray, boxes: list[tuple[int, int, int, int]], colou
 BAR = 52
 
 
+#: Words of the legend by where they start, and rows of five bits of each letter in them.
+LEGEND = {54: "Suspicious text / value", 358: "Font change"}
+GLYPHS = {
+    "S": (14, 17, 16, 14, 1, 17, 14), "F": (31, 16, 16, 30, 16, 16, 16), "u": (0, 0, 17, 17, 17, 19, 13), "s": (0, 0, 15, 16, 14, 1, 30),
+    "p": (0, 0, 30, 17, 30, 16, 16), "i": (4, 0, 12, 4, 4, 4, 14), "c": (0, 0, 14, 16, 16, 17, 14), "o": (0, 0, 14, 17, 17, 17, 14),
+    "t": (8, 8, 28, 8, 8, 9, 6), "e": (0, 0, 14, 17, 31, 16, 14), "x": (0, 0, 17, 10, 4, 10, 17), "/": (1, 1, 2, 4, 8, 16, 16),
+    "v": (0, 0, 17, 17, 17, 10, 4), "a": (0, 0, 14, 1, 15, 17, 15), "l": (12, 4, 4, 4, 4, 4, 14), "n": (0, 0, 22, 25, 17, 17, 17),
+    "h": (16, 16, 22, 25, 17, 17, 17), "g": (0, 0, 15, 17, 15, 1, 14), " ": (0,) * 7,
+}
+
+
+def write_words(picture: np.ndarray, text: str, x: int, y: int, scale: int = 2) -> None:
+    """Write text on a picture in black, its top left at (x, y); what runs over the edge is cut."""
+    bits = np.array([[[g >> k & 1 for k in (4, 3, 2, 1, 0)] + [0] for g in GLYPHS[c]] for c in text], bool)
+    line = np.kron(np.concatenate(list(bits), axis=1), np.ones((scale, scale), bool))
+    part = picture[y : y + line.shape[0], x : x + line.shape[1]]
+    part[line[: part.shape[0], : part.shape[1]]] = 0
+
+
+def annotated_png(picture: np.ndarray, boxes: list) -> bytes:
+    """A PNG of a page with its boxes (marker, left, top, right, bottom) drawn, yellow first, under a bar with the legend."""
+    of = lambda m: [(b["left"], b["top"], b["right"], b["bottom"]) for b in boxes if b["marker"] == m]
+    picture = highlight(highlight(picture, of("yellow"), (255, 214, 0), 150), of("red"), (255, 0, 0), 110)
+    bar = np.full((BAR, picture.shape[1], 3), 255, np.uint8)
+    bar = highlight(highlight(bar, [(16, 12, 44, 40)], (255, 150, 150), 255), [(320, 12, 348, 40)], (255, 226, 90), 255)
+    for x, text in LEGEND.items():
+        write_words(bar, text, x, 19)
+    return png(np.concatenate([bar, picture]))
+
+
 def annotate(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     """(annotated_file, png): pages with their boxes drawn, yellow first, under a bar with the two colours of the legend.
 
     ``pages``: (doc_id, page, width, height, nChannels, data); ``boxes``: as verdict.annotation_boxes
-    gives them. The legend's words need a font, which only the workers' own libraries have.
+    gives them.
     """
     drawn = boxes.groupBy("doc_id", "page", "annotated_file").agg(F.array_sort(F.collect_list(F.struct("flag_seq", "marker", "left", "top", "right", "bottom"))).alias("boxes"))
 
@@ -137,10 +191,6 @@ def annotate(pages: DataFrame, boxes: DataFrame) -> DataFrame:
         for part in parts:
             for r in part.itertuples():
                 picture = rgb(bytes(r.data), r.width, r.height, r.nChannels)
-                of = lambda m: [(b["left"], b["top"], b["right"], b["bottom"]) for b in r.boxes if b["marker"] == m]  # noqa: B023, E731
-                picture = highlight(highlight(picture, of("yellow"), (255, 214, 0), 150), of("red"), (255, 0, 0), 110)
-                bar = np.full((BAR, picture.shape[1], 3), 255, np.uint8)
-                bar = highlight(highlight(bar, [(16, 12, 44, 40)], (255, 150, 150), 255), [(320, 12, 348, 40)], (255, 226, 90), 255)
-                yield pd.DataFrame({"annotated_file": [r.annotated_file], "png": [png(np.concatenate([bar, picture]))]})
+                yield pd.DataFrame({"annotated_file": [r.annotated_file], "png": [annotated_png(picture, r.boxes)]})
 
     return pages.join(drawn, ["doc_id", "page"]).select("annotated_file", "width", "height", "nChannels", "data", "boxes").mapInPandas(run, "annotated_file string, png binary")

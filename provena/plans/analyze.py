@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,37 +12,92 @@ from pyspark.sql import functions as F
 from provena.operators.findings import empty
 from provena.operators.photo import photo_reports
 from provena.operators.pixels import tile_predictions, tile_scores
-from provena.operators.verdict import reports, write_reports
+from provena.operators.verdict import annotation_boxes, report_json, reports
 from provena.plans.report import Options, Relations, all_checks
 from provena.sources import files as sources
-from provena.sources.schemas import LAYER_WORDS, PAGE_FONTS, PHOTO, SPANS, WORDS, PhotoThresholds
+from provena.sources.pages import Pages, annotated_pages, page_counts, page_errors, page_ranges, page_words
+from provena.sources.schemas import ELA_SCORES, LAYER_WORDS, PAGE_FONTS, PHOTO, SPANS, WORDS, PhotoThresholds
+from provena.sources.sinks import below, write_files
 
 
-def relations_of(files: DataFrame, providers: dict[str, Callable] | None = None) -> Relations:
-    """Metadata of the files, and what providers (by relation: words, spans, layer_words, page_fonts) read of them, with their errors.
+@dataclass(frozen=True)
+class Reading:
+    """How pages become words: a provider of pictures, one of a picture's words and, for error levels of JPEG files, one of recompressed pictures."""
 
-    What a provider reads is kept by Spark, so checks and errors come from one reading.
+    pages: Callable[[], Pages]
+    recognize: Callable[[], Callable[[np.ndarray], list[dict]]]
+    recompress: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None
+
+
+class Kept:
+    """DataFrames that an analysis keeps, to be let go of when its results are written or collected."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        while self.frames:
+            self.frames.pop().unpersist()
+
+
+def relations_of(files: DataFrame, providers: dict[str, Callable] | None = None, reading: Reading | None = None, kept: Kept | None = None) -> Relations:
+    """Metadata of the files, what providers (by relation: words, spans, layer_words, page_fonts) read of them, and the words of their pages, with all errors.
+
+    What is read is kept by Spark, so checks and errors come from one reading; ``kept`` lets go of it.
     """
+    kept = kept or Kept()
     kinds = {"words": WORDS, "spans": SPANS, "layer_words": LAYER_WORDS, "page_fonts": PAGE_FONTS}
-    read = {name: sources.provided(files, make, kinds[name]).persist() for name, make in (providers or {}).items()}
+    read = {name: kept.keep(sources.provided(files, make, kinds[name])) for name, make in (providers or {}).items()}
     made = {name: df.where("error is null").drop("error") for name, df in read.items()}
     failed = files.select("doc_id", F.lit(None).cast("string").alias("error")).limit(0)
     for name, df in read.items():
         failed = failed.unionByName(df.where("error is not null").select("doc_id", F.concat(F.lit(f"{name}: "), "error").alias("error")))
+    if reading:
+        if "words" in made:
+            raise ValueError("words come from a provider or from pages, not from both")
+        words = kept.keep(page_words(page_ranges(files, reading.pages), reading.pages, reading.recognize, reading.recompress))
+        good = words.where("error is null")
+        made |= {"words": good.select(*[f.name for f in WORDS.fields])}
+        if reading.recompress:
+            made |= {"ela_scores": good.where("ela is not null").select(*[f.name for f in ELA_SCORES.fields])}
+        failed = failed.unionByName(page_errors(words, "words"))
     errors = failed.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("error"))
     return Relations(pdf_meta=sources.pdf_meta(files), exif=sources.exif(files), errors=errors, **made)
 
 
-def analyze_documents(spark: SparkSession, path: str, providers: dict[str, Callable] | None = None, as_of: Column | None = None, options: Options = Options(), save_to: str | None = None) -> DataFrame:
-    """A report for each document below a path, with the providers' errors in ``error`` (null if none); written as JSON too if save_to is given. FileNotFoundError if the path has none."""
+def analyze_documents(
+    spark: SparkSession, path: str, providers: dict[str, Callable] | None = None, as_of: Column | None = None, options: Options = Options(), save_to: str | None = None, reading: Reading | None = None, kept: Kept | None = None
+) -> DataFrame:
+    """A report for each document below a path, with the providers' errors in ``error`` (null if none). FileNotFoundError if the path has none.
+
+    With ``reading``, pages of PDFs and pictures are rendered and their words recognized. With
+    ``save_to``, each report is a JSON file of its own there, at its document's place below the
+    path; with both, annotated pages stand beside them and reports name them. Reports are lazy;
+    ``kept.release()`` lets go of what they read once they are no longer needed.
+    """
+    kept = kept or Kept()
     files = sources.scan(spark, path)
     if files.select("doc_id").limit(1).count() == 0:
         raise FileNotFoundError(f"no document below {path}")
-    known = relations_of(files, providers)
+    known = relations_of(files, providers, reading, kept)
     flags = all_checks(known, as_of, options).unionByName(empty(spark))
+    if save_to and reading:
+        flags = kept.keep(flags)
     out = reports(flags, files.select("doc_id", "file"), known.errors)
     if save_to:
-        write_reports(out, save_to)
+        if reading:
+            counts = kept.keep(page_counts(page_ranges(files, reading.pages)))
+            boxes = annotation_boxes(flags, counts.join(files.select("doc_id", below(F.col("file"), path).alias("file")), "doc_id"))
+            drawn = kept.keep(annotated_pages(files, reading.pages, boxes))
+            write_files(drawn.where("content is not null").select("name", "content"), save_to)
+            made = drawn.where("content is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "name"))), lambda x: x["name"]).alias("annotated_files"))
+            out = out.join(made, "doc_id", "left").withColumn("annotated_files", F.coalesce("annotated_files", F.array().cast("array<string>")))
+        out = kept.keep(out)
+        write_files(report_json(out).select(below(F.col("report_file"), path).alias("name"), F.col("json").alias("content")), save_to)
     return out
 
 

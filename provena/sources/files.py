@@ -25,6 +25,27 @@ DOCUMENTS = (*IMAGES, "pdf")
 EXIF_TAGS = {0x0131: "Software", 0x0132: "DateTime", 0x9003: "DateTimeOriginal"}
 
 
+#: Bytes of an Arrow batch of file contents, unless the session sets its own bound; a longer file is a batch of its own.
+BATCH_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose contents go to Python in batches bounded by bytes, not by rows alone."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not getattr(spark, "_provena_bounded", False):
+        spark.conf.set(key, str(BATCH_BYTES))
+        spark._provena_bounded = True
+    return df
+
+
+def parsed_number(value) -> float:
+    """A recognizer's confidence; -1 where it is no number."""
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return -1.0
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension without its dot."""
     return F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1))
@@ -106,7 +127,7 @@ def exif(files: DataFrame) -> DataFrame:
             rows = [(i, image_format(bytes(c)), exif_tags(bytes(c)) or None) for i, c in zip(part["doc_id"], part["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "format", "tags"])
 
-    return files.where("ext <> 'pdf'").select("doc_id", "content").mapInPandas(read, EXIF)
+    return bounded(files.where("ext <> 'pdf'").select("doc_id", "content")).mapInPandas(read, EXIF)
 
 
 def provided(files: DataFrame, make: Callable[[], Callable[[str, bytes], list[dict]]], schema: T.StructType) -> DataFrame:
@@ -132,7 +153,7 @@ def provided(files: DataFrame, make: Callable[[], Callable[[str, bytes], list[di
                 if rows:
                     yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
-    return files.select("doc_id", "ext", "content").mapInPandas(run, out)
+    return bounded(files.select("doc_id", "ext", "content")).mapInPandas(run, out)
 
 
 def parsed_confidence(text: Column) -> Column:
@@ -194,11 +215,7 @@ def word_provider(command: str | None = None) -> Callable:
             rows = []
             for i, text in enumerate(d["text"]):
                 if text.strip():
-                    try:
-                        conf = float(d["conf"][i])
-                    except (TypeError, ValueError):
-                        conf = -1.0
-                    rows.append({"page": 1, "word_no": i, "text": text.strip(), "conf": conf, "x": int(d["left"][i]), "y": int(d["top"][i]), "w": int(d["width"][i]), "h": int(d["height"][i])})
+                    rows.append({"page": 1, "word_no": i, "text": text.strip(), "conf": parsed_number(d["conf"][i]), "x": int(d["left"][i]), "y": int(d["top"][i]), "w": int(d["width"][i]), "h": int(d["height"][i])})
             return rows
 
         return read
