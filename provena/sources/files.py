@@ -7,6 +7,7 @@ one file or tile at a time.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.sources.schemas import DEFAULT, EXIF
+from provena.sources.pdf_info import information, text, value
+from provena.sources.schemas import DEFAULT, EXIF, PDF_META
 from provena.sources.shipping import ship
 
 #: What uploads may be.
@@ -74,14 +76,39 @@ def upload_name(name: Column) -> Column:
     return F.concat(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 10), F.lit("_"), F.regexp_replace(F.regexp_replace(name, r"[/\\\s]+", "_"), r"[^A-Za-z0-9_.-]", ""))
 
 
+_PLAIN = {k: re.compile(rb"/" + k.encode() + rb"\s*\(((?:[^()\\]|\\.)*+)\)", re.S) for k in ("Producer", "Creator", "CreationDate", "ModDate")}
+
+
+def pdf_facts(content: bytes) -> dict:
+    """A PDF's row of the pdf_meta relation.
+
+    ``info_read`` is true if the information dictionary was read, or found missing; null if it
+    can't be read. Damaged files give the entries that they hold in plain sight; without any
+    cross-reference these are taken for all.
+    """
+    info, known = (read := information(content)), b"startxref" not in content or read is not None
+    if info is None and b"/Encrypt" not in content:
+        info = {k: text(value(m[0], m[0].index(b"("))[0]) for k, p in _PLAIN.items() if (m := p.search(content))}
+    entry = lambda k: (info or {}).get(k) or None
+    return {
+        "producer": entry("Producer"), "creator": entry("Creator"), "creation_date": entry("CreationDate"), "mod_date": entry("ModDate"),
+        "eof_count": content.count(b"%%EOF"), "has_annot": re.search(rb"/Type\s*/Annot", content) is not None, "has_cover_annot": re.search(rb"/Subtype\s*/(?:Redact|FreeText|Square)", content) is not None,
+        "info_read": True if known and info is not None else None,
+    }
+
+
 def pdf_meta(files: DataFrame) -> DataFrame:
-    """The pdf_meta relation from raw bytes: markers, annotations and plainly written information fields; JVM functions only."""
-    raw = files.where("ext = 'pdf'").select("doc_id", F.decode("content", "ISO-8859-1").alias("raw"))
-    info = lambda k: F.nullif(F.regexp_extract("raw", rf"/{k}\s*\(((?:[^()\\]|\\.)*)\)", 1), F.lit(""))
-    return raw.select(
-        "doc_id", info("Producer").alias("producer"), info("Creator").alias("creator"), info("CreationDate").alias("creation_date"), info("ModDate").alias("mod_date"),
-        F.regexp_count("raw", F.lit("%%EOF")).alias("eof_count"), F.col("raw").rlike(r"/Type\s*/Annot").alias("has_annot"), F.col("raw").rlike(r"/Subtype\s*/(Redact|FreeText|Square)").alias("has_cover_annot"),
-    )
+    """The pdf_meta relation, with ``info_read``, from raw bytes: markers, annotations and the information dictionary."""
+    ship(files.sparkSession)
+    schema = T.StructType([*PDF_META.fields, T.StructField("info_read", T.BooleanType())])
+    names = [f.name for f in schema.fields]
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [{"doc_id": i, **pdf_facts(bytes(c))} for i, c in zip(part["doc_id"], part["content"], strict=True)]
+            yield pd.DataFrame([[r[n] for n in names] for r in rows], columns=names, dtype=object)
+
+    return bounded(files.where("ext = 'pdf'").select("doc_id", "content")).mapInPandas(read, schema)
 
 
 def image_format(content: bytes) -> str:
