@@ -257,7 +257,7 @@ class _Lines:
         self.now: list[str] = []
         self.due = 0  # empty lines before the next text; 0 within a line
         self.space = False
-        self.mark = ""  # what the next text of a deep list item starts with
+        self.marks: list[str] = []  # what the next text of a deep list item starts with, an item each
 
     def text(self, value: str) -> None:
         words = _SPACE.sub(" ", value)
@@ -269,10 +269,15 @@ class _Lines:
         if not body:
             return
         self.gap()
-        self.now.append((" " if self.space and self.now else "") + self.mark + body)
-        self.mark = ""
+        self.now.append((" " if self.space and self.now else "") + self.marked() + body)
         self.space = words[-1] == " "
 
+    def marked(self) -> str:
+        """The marks that are due, which are due no longer."""
+        out = "".join(self.marks)
+        self.marks.clear()
+        return out
+
     def gap(self) -> None:
         if self.due and self.lines:
             self.lines += [""] * (self.due - 1)
@@ -291,8 +296,7 @@ class _Lines:
         self.end(empty)
         if lines:
             self.gap()
-            self.lines += [self.mark + lines[0], *lines[1:]] if self.mark else lines
-            self.mark = ""
+            self.lines += [self.marked() + lines[0], *lines[1:]] if self.marks else lines
             self.end(empty)
 
     def done(self) -> list[str]:
@@ -469,13 +473,12 @@ def _render(node: Node, out: _Lines, shown: bool, depth: int, level: int) -> Gen
             yield _table(c, out, seen, level)
         elif c.tag in ("li", "dd", "blockquote") and level >= MAX_DEPTH:
             out.end(int(c.tag == "blockquote"))
-            before = out.mark
+            before = len(out.marks)
             if c.tag == "li":
-                out.mark += _marker(node, number)
+                out.marks.append(_marker(node, number))
                 number += 1
             yield _render(c, out, seen, depth + 1, level + 1)
-            if out.mark:
-                out.mark = before
+            del out.marks[before:]
             out.end(int(c.tag == "blockquote"))
         elif c.tag == "li":
             inner = _Lines()

@@ -229,3 +229,14 @@ def test_extract_keeps_rows_and_columns(spark):
     assert sorted(out.columns) == ["html", "page_id", "visible_text"]
     assert sorted(r["visible_text"] for r in out.collect()) == ["", "a", "a"]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_deep_lists_without_text_stay_small():
+    import tracemalloc
+
+    for page, end in (("<ul><li>" * 100_000 + "x", "- x"), ("<ul><li>" * 3000 + "</li></ul>" * 2999 + "<li>y", "- y"), ("<ul><li><blockquote>" * 60_000, "")):
+        tracemalloc.start()
+        text = html_text.render(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert text.endswith(end) and peak < 300 << 20, (peak, text[-40:])
