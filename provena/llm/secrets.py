@@ -122,12 +122,59 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
 _SEPARATOR = re.compile("[:=]")
 
 
+class Lines:
+    """The lines of a text that aren't blank: where each starts, its first and last sign, and where what is indented deeper ends."""
+
+    def __init__(self, text: str) -> None:
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int]] = []
+        self.ends: list[int] = []
+        indents, at, open_ones = [], 0, []
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            first = _INDENT.match(text, at, end).end()
+            last = first + len(text[first:end].rstrip())
+            if last > first:
+                n = len(self.starts)
+                while open_ones and indents[open_ones[-1]] >= first - at:
+                    self.ends[open_ones.pop()] = n
+                self.starts.append(at)
+                self.spans.append((first, last))
+                self.ends.append(-1)
+                indents.append(first - at)
+                open_ones.append(n)
+            at = end + 1
+        for i in open_ones:
+            self.ends[i] = len(self.starts)
+        self.left = list(range(len(self.starts) + 1))  # from each line the next that was not taken
+
+    def below(self, at: int) -> tuple[int, int]:
+        """The lines, from one to before another, that are indented deeper than the one at a place."""
+        i = bisect_right(self.starts, at) - 1
+        return i + 1, self.ends[i]
+
+    def take(self, i: int, j: int) -> Iterator[tuple[int, int]]:
+        """The spans of some lines that were not taken before."""
+        while True:
+            k = i
+            while self.left[k] != k:
+                self.left[k] = self.left[self.left[k]]
+                k = self.left[k]
+            if k >= j:
+                return
+            self.left[k] = k + 1
+            yield self.spans[k]
+            i = k + 1
+
+
 @dataclass(eq=False)
 class Value:
-    """What a name stands for: its first characters, the spans of its own literals, and the values that it is made of besides."""
+    """What a name stands for: its first characters, the spans of its own literals or the lines of its block, and the values that it is made of besides."""
 
     head: str = ""
     spans: list[tuple[int, int]] = field(default_factory=list)
+    block: tuple[Lines, int, int] | None = None
     made_of: list[Value] = field(default_factory=list)
 
     def add(self, text: str, start: int, end: int) -> None:
@@ -147,20 +194,29 @@ def literals(value: Value, done: set[int]) -> Iterator[tuple[int, int]]:
         if id(v) not in done:
             done.add(id(v))
             yield from v.spans
+            if v.block:
+                lines, i, j = v.block
+                yield from lines.take(i, j)
             todo += v.made_of
 
 
 def pairs(text: str) -> Iterator[tuple[str, Value]]:
     """(name, value) of each pair, in order; names that stand for literals are followed."""
     known: dict[str, Value] = {}
+    lines: Lines | None = None
     for start, end in _lines(text):
         at = start
         while (head := HEAD.search(text, at, end)) is not None:
             at, name, value = head.end(), head["name"], Value()
             if (block := BLOCK.match(text, at)) is not None:
                 if name_score(name):
-                    for a, b in _block(text, text.rfind("\n", 0, head.start()) + 1, block.end()):
-                        value.add(text, a, b)
+                    lines = lines or Lines(text)
+                    i, j = lines.below(head.start())
+                    value.block = (lines, i, j)
+                    for a, b in lines.spans[i : min(j, i + VALUE_CHARS)]:
+                        value.head += text[a : min(b, a + VALUE_CHARS - len(value.head))]
+                        if len(value.head) >= VALUE_CHARS:
+                            break
             elif (m := VALUE.match(text, at)) is not None:
                 if m.end() > end and text[at] in "\"'" and text.count(text[at], text.rfind("\n", 0, head.start()) + 1, at) % 2:
                     continue  # the quote closes a string that the name is in
@@ -172,7 +228,7 @@ def pairs(text: str) -> Iterator[tuple[str, Value]]:
                     elif k != 5 or not IDENTIFIER.match(part[5]) or len(m[0].strip()) == len(part[0]):  # else an unknown name within an expression
                         value.add(text, first, first + len(part[k]))
                 at = min(m.end(), end)  # later lines of a value are read for pairs of their own too
-            if value.spans or value.made_of:
+            if value.spans or value.made_of or (value.block and value.block[1] < value.block[2]):
                 known[name] = value
                 yield name, value
     if "</" in text:
@@ -182,22 +238,6 @@ def pairs(text: str) -> Iterator[tuple[str, Value]]:
             yield m[1], value
 
 
-def _block(text: str, line: int, at: int) -> list[tuple[int, int]]:
-    """The lines from ``at`` that are indented deeper than the one at ``line``, without their indents."""
-    depth, out = _INDENT.match(text, line).end() - line, []
-    while at < len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        first = _INDENT.match(text, at, end).end()
-        last = first + len(text[first:end].rstrip())
-        if last > first:
-            if first - at <= depth:
-                break
-            out.append((first, last))
-        at = end + 1
-    return out
-
-
 _INDENT = re.compile("[ \t]*")
 
 

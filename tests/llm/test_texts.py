@@ -279,3 +279,49 @@ def test_other_models_are_refused(tmp_path):
     path.write_bytes(proto.SerializeToString())
     with pytest.raises(ValueError):
         sp.load(os.fspath(path))
+
+
+def _slow_block(text, line, at):
+    """A block's lines by reading on from its head, as often as it is asked."""
+    depth = len(text[line:]) - len(text[line:].lstrip(" \t"))
+    out = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        row = text[at:end]
+        first = at + len(row) - len(row.lstrip(" \t"))
+        last = first + len(text[first:end].rstrip())
+        if last > first:
+            if first - at <= depth:
+                break
+            out.append((first, last))
+        at = end + 1
+    return out
+
+
+def test_blocks_of_indented_lines_against_a_slow_reading():
+    rng = random.Random(2)
+    for _ in range(400):
+        rows = [" " * rng.randint(0, 4) + rng.choice(["secret: |", "x", "token: >", "", "  ", "a b"]) for _ in range(rng.randint(1, 25))]
+        text = "\n".join(rows) + rng.choice(["", "\n"])
+        lines = secrets.Lines(text)
+        for m in re.finditer(r"(?:secret|token): [|>]\n?", text):
+            start = text.rfind("\n", 0, m.start()) + 1
+            i, j = lines.below(m.start())
+            assert lines.spans[i:j] == _slow_block(text, start, m.end())
+        taken = [s for _ in range(3) for i in [rng.randint(0, len(lines.spans))] for s in lines.take(i, rng.randint(i, len(lines.spans)))]
+        assert len(set(taken)) == len(taken)
+
+
+def test_nested_blocks_take_linear_time():
+    def text(n):
+        return "\n".join(" " * (k % 300) + ("secret_token: |" if k % 2 else "q8Zr71LmXv02Tt-kd83h") for k in range(n))
+
+    took = []
+    for n in (4000, 16_000):
+        source = text(n)
+        began = time.time()
+        spans = secrets.lexed_spans(source, secrets.base_spans(source))
+        took.append(time.time() - began)
+        assert len(spans) > n // 4
+    assert took[1] < 12 * took[0] + 1 and took[1] < 10
