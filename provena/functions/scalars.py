@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Editing tools whose mention in metadata is a finding.
 EDIT_TOOLS = [
@@ -184,3 +185,23 @@ def risk_percent(c: Column) -> Column:
 def clean_double(c: Column) -> Column:
     """Six decimals, halves to even."""
     return F.bround(c, 6)
+
+
+def clean_value(c: Column, kind: T.DataType) -> Column:
+    """A value of any type for display: doubles with six decimals, missing text empty, within structs, arrays and maps too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return clean_double(c)
+    if isinstance(kind, T.StringType):
+        return F.coalesce(c, F.lit(""))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[clean_value(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: clean_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: clean_value(v, kind.valueType))
+    return c
+
+
+def clean_row(df: DataFrame) -> DataFrame:
+    """``df`` with every column cleaned, by its schema."""
+    return df.select(*[clean_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

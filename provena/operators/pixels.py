@@ -30,8 +30,26 @@ def crop(picture: np.ndarray, x: int, y: int, tile: int = PHOTO.tile) -> np.ndar
     return out
 
 
+def _bisected(predict: Callable[[np.ndarray], list[dict[str, float]]], tiles: list[np.ndarray]) -> list[tuple[dict[str, float] | None, str | None]]:
+    """Each tile's results or error; about twice the logarithm of a batch in further calls for a tile at fault."""
+    try:
+        found = predict(np.stack(tiles))
+        if len(found) != len(tiles):
+            raise ValueError(f"{len(found)} results for {len(tiles)} tiles")
+        return [(f, None) for f in found]
+    except Exception as e:  # noqa: BLE001
+        if len(tiles) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+    half = len(tiles) // 2
+    return _bisected(predict, tiles[:half]) + _bisected(predict, tiles[half:])
+
+
 def tile_predictions(images: DataFrame, make: Callable[[], Callable[[np.ndarray], list[dict[str, float]]]], tile: int = PHOTO.tile, overlap: float = PHOTO.overlap, batch: int = PHOTO.batch) -> DataFrame:
-    """(image_id, x, y, results) of every tile. ``make`` runs once in each worker; it gives a callable from a batch of tiles to label probabilities."""
+    """(image_id, x, y, results, error) of every tile. ``make`` runs once in each worker; it gives a callable from a batch of tiles to label probabilities.
+
+    Where it raises, the batch is halved until the tiles at fault are alone: these have their error
+    and no results, all others their results.
+    """
     grid = tile_grid(images, tile, overlap).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("tile_no", "x", "y"))).alias("tiles"))
 
     ship(images.sparkSession)
@@ -43,10 +61,10 @@ def tile_predictions(images: DataFrame, make: Callable[[], Callable[[np.ndarray]
                 picture = rgb(bytes(r.data), r.width, r.height, r.nChannels)
                 for at in range(0, len(r.tiles), batch):
                     some = r.tiles[at : at + batch]
-                    found = predict(np.stack([crop(picture, t["x"], t["y"], tile) for t in some]))
-                    yield pd.DataFrame({"image_id": r.image_id, "x": [t["x"] for t in some], "y": [t["y"] for t in some], "results": found})
+                    found = _bisected(predict, [crop(picture, t["x"], t["y"], tile) for t in some])
+                    yield pd.DataFrame({"image_id": r.image_id, "x": [t["x"] for t in some], "y": [t["y"] for t in some], "results": [f[0] for f in found], "error": [f[1] for f in found]})
 
-    return images.join(grid, "image_id").select("image_id", "width", "height", "nChannels", "data", "tiles").mapInPandas(run, "image_id long, x int, y int, results map<string,double>")
+    return images.join(grid, "image_id").select("image_id", "width", "height", "nChannels", "data", "tiles").mapInPandas(run, "image_id long, x int, y int, results map<string,double>, error string")
 
 
 def tile_scores(predictions: DataFrame, labels: list[str]) -> DataFrame:

@@ -101,18 +101,22 @@ def analyze_documents(
     return out
 
 
-def analyze_photos(spark: SparkSession, path: str, model: Callable[[], Callable[[np.ndarray], list[dict[str, float]]]], labels: list[str], t: PhotoThresholds = PHOTO) -> DataFrame:
+def analyze_photos(spark: SparkSession, path: str, model: Callable[[], Callable[[np.ndarray], list[dict[str, float]]]], labels: list[str], t: PhotoThresholds = PHOTO, kept: Kept | None = None) -> DataFrame:
     """A report for each picture below a path, by a model that scores batches of tiles.
 
-    A picture that the JVM can't decode is a row with ``error`` and no scores; it is null on all others.
+    A picture that the JVM can't decode, or with a tile that the model raises on, is a row with
+    ``error`` and no scores; it is null on all others. Predictions are kept; ``kept`` lets go of them.
     Files of no bytes are left out: no reader of Spark lists them.
     """
     images = sources.scan_images(spark, path)
-    tiles = tile_scores(tile_predictions(images, model, t.tile, t.overlap, t.batch), labels)
+    predicted = (kept or Kept()).keep(tile_predictions(images, model, t.tile, t.overlap, t.batch))
+    failed = predicted.where("error is not null").groupBy("image_id").agg(F.min("error").alias("error"))
+    tiles = tile_scores(predicted.join(failed.select("image_id"), "image_id", "left_anti"), labels)
     label = next(v for v in labels if any(k in v.lower() for k in ("ai", "fake", "synthetic")))
     scored = photo_reports(tiles, images.select("image_id", "image", "width", "height", F.lit(label).alias("ai_label")), t)
     read = images.select(sources.plain_path(F.url_decode(F.replace("image", F.lit("+"), F.lit("%2B")))).alias("read"))
     listed = sources.scan(spark, path, sources.IMAGES).select(F.col("doc_id").alias("image_id"), F.col("file").alias("image"))
     unread = listed.join(read, sources.plain_path(F.col("image")) == F.col("read"), "left_anti")
     unread = unread.withColumn("filename", F.substring_index("image", "/", -1)).withColumn("error", F.lit("not decoded: broken, or of a format that the JVM does not read"))
-    return scored.withColumn("error", F.lit(None).cast("string")).unionByName(unread, allowMissingColumns=True)
+    raised = images.select("image_id", "image").join(failed, "image_id").withColumn("filename", F.substring_index("image", "/", -1)).withColumn("error", F.concat(F.lit("model: "), "error"))
+    return scored.withColumn("error", F.lit(None).cast("string")).unionByName(unread, allowMissingColumns=True).unionByName(raised, allowMissingColumns=True)

@@ -305,6 +305,10 @@ def _with(names: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([*ctes, *[f"{n} AS {shared(n)}({_PARTS[n][1]})" for n in parts]]) + "\n" + select
 
 
+def _with_views(views: list[str], select: str) -> str:
+    return "WITH " + duckdb_views(views) + "\n" + select
+
+
 _UNION = " UNION ALL ".join(f"SELECT {_COLUMNS} FROM {n}" for n in _ALL)
 _VERDICT = f"""SELECT doc_id, coalesce(risk_score, 0)::BIGINT AS risk_score, coalesce(n_flags, 0)::BIGINT AS n_flags, coalesce(strong_checks, 0)::BIGINT AS strong_checks,
   CASE WHEN strong_checks >= 2 OR risk_score >= 12 THEN 'LIKELY TAMPERED' WHEN strong_checks > 0 THEN 'SUSPICIOUS' ELSE 'NO STRONG SIGNS OF TAMPERING' END AS verdict
@@ -357,3 +361,15 @@ ORACLE_SQL |= {
     ),
     "softmax_scores": """SELECT vec_id, (generate_subscripts(p, 1) - 1)::INT AS i, round(unnest(p), 8) AS probability FROM (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (SELECT vec_id, list_transform(embedding, lambda v: exp(v::DOUBLE)) AS e FROM embeddings))""",
 }
+ORACLE_SQL |= {
+    "patch_means": _with_views(
+        ["pixels", "pixel_boxes"],
+        """SELECT box_id, count(*) AS pixels, round(avg(v::DOUBLE), 6) AS mean FROM pixel_boxes b JOIN pixels p ON b.page = p.page AND p.x >= b.x AND p.x < b.x + b.w AND p.y >= b.y AND p.y < b.y + b.h GROUP BY box_id""",
+    ),
+    "shown_values": """SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 7, 6) AS price, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE '' END AS flag, round_even(l_tax / 3, 6) AS part, 2 AS n_parts,
+      round_even(l_discount / 9, 6) AS share, format('{:.2f}%', l_discount * 100) AS risk_shown, CASE WHEN l_quantity <= 1 THEN format('{:.2f}%', l_quantity * 100) ELSE format('{:.2f}%', l_quantity) END AS score_shown FROM lineitem""",
+    "label_scores": """SELECT doc_id, label, round(coalesce(length(label) / 20, 0), 6) AS score FROM (
+      SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' ')[1:30], lambda v: regexp_matches(lower(v), 'ai|fake|synthetic'))[1] AS label FROM documents)""",
+    "file_names": r"""SELECT page_id, lower(regexp_extract(url, '\.([^./\\]*)$', 1)) AS ext, list_contains(['jpg', 'jpeg', 'png', 'webp', 'bmp', 'tiff', 'tif', 'pdf'], lower(regexp_extract(url, '\.([^./\\]*)$', 1))) AS allowed,
+      regexp_replace(url, '^(\w+:)/+', '\1/') AS plain, regexp_replace(url, '([^/\\])\.[^./\\]*$', '\1') AS stem FROM pages""",
+}

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from provena.functions import scalars as S
 from provena.functions.stats import with_robust_z
-from provena.operators import fonts, layout, lines, metadata, photo, rules, text_layer, totals, verdict
+from provena.operators import fonts, layout, lines, metadata, patches, photo, rules, text_layer, totals, verdict
 from provena.plans import report
+from provena.sources import files
 from provena.sources.adapters import view
 
 #: The day after which the test tables' dates are in the future.
@@ -259,3 +260,36 @@ def photo_decision(spark: SparkSession, sf: str) -> DataFrame:
 def softmax_scores(spark: SparkSession, sf: str) -> DataFrame:
     df = view(spark, sf, "embeddings").select("vec_id", photo.softmax(F.col("embedding").cast("array<double>")).alias("p"))
     return df.select("vec_id", F.posexplode("p").alias("i", "v")).select("vec_id", "i", F.round("v", 8).alias("probability"))
+
+
+@query
+def patch_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes over a picture whose rows are the embeddings."""
+    return patches.box_means(view(spark, sf, "pixels"), view(spark, sf, "pixel_boxes")).select("box_id", "pixels", F.round("mean", 6).alias("mean"))
+
+
+@query
+def shown_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as nested values, cleaned, and their shares as shown."""
+    nested = view(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.struct((F.col("l_extendedprice") / 7).alias("price"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), F.array(F.col("l_tax") / 3, F.lit(None).cast("double")).alias("parts")).alias("line"),
+        F.create_map(F.lit("share"), F.col("l_discount") / 9).alias("more"), S.risk_percent(F.col("l_discount")).alias("risk_shown"), S.risk_percent(F.col("l_quantity")).alias("score_shown"),
+    )
+    flat = S.clean_row(nested).select("l_orderkey", "l_linenumber", "line.price", "line.flag", F.col("line.parts")[0].alias("part"), F.size("line.parts").alias("n_parts"), F.col("more")["share"].alias("share"), "risk_shown", "score_shown")
+    return flat
+
+
+@query
+def label_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A label that speaks of generated images among a text's first words, and its score."""
+    labels = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 30)
+    df = view(spark, sf, "documents").select("doc_id", labels.alias("labels"))
+    df = df.withColumns({"label": photo.ai_label(F.col("labels")), "results": F.map_from_entries(F.transform(F.array_distinct("labels"), lambda v: F.struct(v, F.length(v) / 20)))})
+    return df.select("doc_id", "label", F.round(photo.label_score(F.col("results"), F.col("label")), 6).alias("score"))
+
+
+@query
+def file_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Extensions, plain paths and report names of addresses, and whether uploads may be of that kind."""
+    ext = files.extension(F.col("url"))
+    return view(spark, sf, "pages").select("page_id", ext.alias("ext"), ext.isin(*files.DOCUMENTS).alias("allowed"), files.plain_path(F.col("url")).alias("plain"), verdict.stem(F.col("url")).alias("stem"))

@@ -152,6 +152,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "cells": (("embeddings",), "SELECT vec_id AS image_id, UNNEST:i:cell:embedding FROM {embeddings}"),
     "tile_scores": (("cells",), "SELECT image_id, CAST(i % 8 * 168 AS INT) AS x, CAST(floor(i / 8) * 168 AS INT) AS y, CASE WHEN abs(CAST(cell AS DOUBLE)) * 3 > 1 THEN CAST(1 AS DOUBLE) ELSE abs(CAST(cell AS DOUBLE)) * 3 END AS score FROM {cells}"),
+    "pixels": (("cells",), "SELECT CAST(0 AS INT) AS page, CAST(i AS INT) AS x, CAST(image_id AS INT) AS y, CAST(floor(abs(CAST(cell AS DOUBLE)) * 1000) AS BIGINT) AS v FROM {cells}"),
+    "pixel_boxes": (
+        ("orders",),
+        "SELECT o_orderkey AS box_id, CAST(0 AS INT) AS page, CAST(o_orderkey * 7 % 70 - 5 AS INT) AS x, CAST(o_orderkey * 13 % 520 - 10 AS INT) AS y, CAST(o_orderkey % 23 AS INT) AS w, CAST(o_orderkey * 3 % 90 AS INT) AS h FROM {orders}",
+    ),
     "image_sizes": (("orders",), "SELECT o_orderkey AS image_id, CAST(100 + o_orderkey * 37 % 1500 AS INT) AS width, CAST(100 + o_orderkey * 53 % 900 AS INT) AS height FROM {orders}"),
 }
 

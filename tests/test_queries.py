@@ -146,3 +146,27 @@ def test_arrivals(spark, folder, tmp_path):
     q = report_arrivals(arrivals(spark, folder), str(tmp_path / "sink"), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "sink")).count() == 4
+
+
+def test_a_tile_that_the_model_raises_on_costs_its_photo_only(spark, tmp_path):
+    flat = np.full((300, 700, 3), 100, np.uint8)
+    bad = flat.copy()
+    bad[150:, 400:450] = 7
+    for name, picture in {"good.png": flat, "bad.png": bad}.items():
+        (tmp_path / name).write_bytes(pixels.png(picture))
+    calls = []
+
+    def predict(tiles):
+        calls.append(len(tiles))
+        if any((t == 7).any() for t in tiles):
+            raise RuntimeError("no score")
+        return [{"real": 0.5, "fake": 0.5} for _ in tiles]
+
+    tiles = [np.full((4, 4, 3), 7 if k in (3, 9) else 1, np.uint8) for k in range(16)]
+    assert [e for _, e in pixels._bisected(predict, tiles)] == [("RuntimeError: no score" if k in (3, 9) else None) for k in range(16)] and len(calls) < 20
+    model = lambda: lambda tiles: [(_ for _ in ()).throw(RuntimeError("no score")) if (t == 7).any() else {"real": 0.5, "fake": 0.5} for t in tiles]
+    kept = analyze.Kept()
+    got = {r["filename"]: r for r in analyze.analyze_photos(spark, str(tmp_path), model, ["real", "fake"], kept=kept).collect()}
+    kept.release()
+    assert got["bad.png"]["error"] == "model: RuntimeError: no score" and got["bad.png"]["decision"] is None
+    assert got["good.png"]["error"] is None and got["good.png"]["decision"] == "REVIEW" and len(got) == 2
