@@ -9,6 +9,8 @@ Classes are cut into chunks of about CHUNK sets or CHUNK_BYTES of hashes, ordere
 counts of their sizes; each pair of chunks that can hold a link is a task of bounded size. There a set's overlaps with the whole chunk are derived from those of its
 most similar predecessor, through the index lists of the few hashes in which the two differ.
 No pair of sets is ever a row: tasks return counts of links and the edges of a forest.
+Chunks travel as texts, packed by the chunk, since near copies pack to a fraction of their hashes;
+the task that compares them makes the sets again.
 
 The order "rarest first" comes from a table of SLOTS counters over hashed shingles: of fixed
 size however large the corpus, and any table gives the same result, only faster or slower.
@@ -20,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provena.llm import batches, scratch
 from provena.llm.components import connected_components
+from provena.llm.membership import may_hold
 from provena.llm.shingles import mix, set_id, shingle_set, word_hashes
 
 SLOTS = 1 << 20
@@ -36,7 +40,9 @@ CHUNK_BYTES = 16 << 20
 TASK_BYTES = 16 << 20
 #: Counter tables of tasks that are added up in one step.
 TABLES = 256
-#: Ids that are broadcast to filter texts, at most (about 120 MB: 6 MB were measured for 50,000); more are joined by a shuffle of the texts.
+#: Bytes of texts that a task holds to pack those of one chunk together.
+PACK_BYTES = 16 << 20
+#: Ids that one_of_each() broadcasts to take rows out, at most (about 120 MB: 6 MB were measured for 50,000); more are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 #: Prefix entries of one task, about, and of one flush of a task that makes them.
 LIST_ENTRIES = 400_000
@@ -44,7 +50,7 @@ FLUSH_ENTRIES = 1 << 18
 
 FACTS = "kind int, doc_id long, n long, uid long, text_hash long, segment int, counts binary"
 ENTRIES = "kind int, part int, tokens binary, uids binary, sizes binary, reach binary"
-SETS = "cluster long, c1 int, c2 int, side int, uid long, docs long, hashes binary"
+PACKS = "cluster long, c1 int, c2 int, side int, uids binary, docs binary, lengths binary, texts binary"
 FOUND = "a long, b long, links long"
 
 
@@ -54,7 +60,11 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    texts, at = _texts(batch), 0
+    return _made(_texts(batch), width)
+
+
+def _made(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    at = 0
     while at < len(texts):  # a few at a time: their words' hashes are held together
         size, end = 0, at
         while end < len(texts) and (end == at or size + len(texts[end]) <= 2 << 20):
@@ -296,17 +306,16 @@ def overlaps(sets: list[np.ndarray], probes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def solver(num: int, den: int):
-    """Counts of links and a forest of each (cluster, c1, c2) run of rows."""
+def solver(width: int, num: int, den: int):
+    """Counts of links and a forest of each (cluster, c1, c2) run of packed rows."""
 
-    def solve(rows: list[dict]) -> list[tuple]:
-        rows = list({(r["side"], r["uid"]): r for r in rows}.values())
-        left = [r for r in rows if r["side"] == 0]
-        right = left if rows[0]["c1"] == rows[0]["c2"] else [r for r in rows if r["side"] == 1]
+    def solve(c1: int, c2: int, sides: list[dict[int, tuple[np.ndarray, int]]]) -> list[tuple]:
+        left = sides[0]
+        right = left if c1 == c2 else sides[1]
         if not left or not right or (left is right and len(left) == 1):
             return []
-        sets = [np.frombuffer(r["hashes"], "<u8") for r in left]
-        probes = sets if left is right else [np.frombuffer(r["hashes"], "<u8") for r in right]
+        sets = [s for s, _ in left.values()]
+        probes = sets if left is right else [s for s, _ in right.values()]
         o = overlaps(sets, probes)
         n, m = np.array([len(s) for s in sets]), np.array([len(s) for s in probes])
         linked = np.empty(o.shape, bool)
@@ -315,8 +324,8 @@ def solver(num: int, den: int):
             linked[r : r + 256] = den * part >= num * (m[r : r + 256, None] + n - part)
         if left is right:
             np.fill_diagonal(linked, False)
-        uids, other = np.array([r["uid"] for r in left]), np.array([r["uid"] for r in right])
-        docs, of = np.array([r["docs"] for r in left]), np.array([r["docs"] for r in right])
+        uids, other = np.array(list(left)), np.array(list(right))
+        docs, of = np.array([d for _, d in left.values()]), np.array([d for _, d in right.values()])
         out = [(u, None, c) for u, c in zip(other.tolist(), (linked @ docs).tolist(), strict=True) if c]
         if left is not right:
             out += [(u, None, c) for u, c in zip(uids.tolist(), (of @ linked).tolist(), strict=True) if c]
@@ -337,8 +346,21 @@ def solver(num: int, den: int):
             out += [(int(x), int(nodes[r]), None) for x, r in zip(nodes, label, strict=True) if nodes[r] != x]
         return out
 
+    def unpack(r: dict, into: dict[int, tuple[np.ndarray, int]]) -> None:
+        """The row's sets by uid: a text whose set has another name only shares an id and a hash with the one that was asked for."""
+        lengths = np.frombuffer(r["lengths"], "<i8")
+        data, at = zstandard.decompress(r["texts"], max_output_size=int(lengths.sum())), 0
+        texts = []
+        for n in lengths.tolist():
+            texts.append(data[at : at + n])
+            at += n
+        asked = zip(np.frombuffer(r["uids"], "<i8").tolist(), np.frombuffer(r["docs"], "<i8").tolist(), _made(texts, width), strict=True)
+        for uid, docs, s in asked:
+            if uid not in into and set_id(s) == uid:
+                into[uid] = (s, docs)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, sides, out = None, [{}, {}], []
 
         def made() -> pa.RecordBatch:
             a, b, c = zip(*out, strict=True)
@@ -347,15 +369,15 @@ def solver(num: int, den: int):
         for batch in parts:
             for r in batch.to_pylist():
                 if (r["cluster"], r["c1"], r["c2"]) != key:
-                    if rows:
-                        out += solve(rows)
-                    key, rows = (r["cluster"], r["c1"], r["c2"]), []
+                    if key:
+                        out += solve(*key[1:], sides)
+                    key, sides = (r["cluster"], r["c1"], r["c2"]), [{}, {}]
                     if len(out) > 50_000:
                         yield made()
                         out = []
-                rows.append(r)
-        if rows:
-            out += solve(rows)
+                unpack(r, sides[r["side"]])
+        if key:
+            out += solve(*key[1:], sides)
         if out:
             yield made()
         batches.trim()
@@ -363,27 +385,45 @@ def solver(num: int, den: int):
     return run
 
 
-def set_maker(width: int):
-    """Sets of the candidate documents, once for each task that needs them."""
+def packer():
+    """Texts of one chunk that a task has, packed together and once for each task that compares the chunk."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cluster", "c1", "c2", "side", "uid", "docs", "hashes"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in parts:
-            facts = batch.drop_columns(["text"]).to_pylist()
-            rows, size = [], 0
-            for r, s in zip(facts, _sets(batch, width), strict=True):
-                if set_id(s) != r["uid"]:
-                    continue  # another text with the same id and hash
-                data = s.astype("<u8").tobytes()
-                for t in r["tasks"]:
-                    rows.append((r["cluster"], t["c1"], t["c2"], int(t["c1"] != r["chunk"]), r["uid"], r["docs"], data))
-                    size += len(data)
-                if size > batches.BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, size = [], 0
+        names = ["cluster", "c1", "c2", "side", "uids", "docs", "lengths", "texts"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        held: dict[tuple[int, int], tuple[list, dict[int, tuple[int, bytes]]]] = {}
+        size = 0
+        press = zstandard.ZstdCompressor(level=3)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, sent = [], 0
+            for (cluster, chunk), (tasks, own) in held.items():
+                longs = lambda xs: np.array(xs, "<i8").tobytes()
+                data = (longs(list(own)), longs([d for d, _ in own.values()]), longs([len(t) for _, t in own.values()]), press.compress(b"".join(t for _, t in own.values())))
+                for t in tasks:
+                    rows.append((cluster, t["c1"], t["c2"], int(t["c1"] != chunk), *data))
+                    sent += sum(map(len, data))
+                    if sent > batches.BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, sent = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield batch_of(rows)
+            held.clear()
+
+        for batch in parts:
+            for r, text in zip(batch.drop_columns(["text"]).to_pylist(), _texts(batch), strict=True):
+                own = held.setdefault((r["cluster"], r["chunk"]), (r["tasks"], {}))[1]
+                if r["uid"] not in own:
+                    own[r["uid"]] = (r["docs"], text)
+                    size += len(text) + 64
+                if size > PACK_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+        batches.trim()
 
     return run
 
@@ -432,13 +472,11 @@ def link(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     volume = tasks.join(sizes, (F.col("k") == sizes["cluster"]) & (F.col("c") == sizes["chunk"])).agg(F.sum(F.col("bytes") * F.size("tasks"))).first()[0] or 0
     dealt_n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // TASK_BYTES))
     wanted = members.join(tasks, (members["cluster"] == F.col("k")) & (members["chunk"] == F.col("c"))).select("cluster", "chunk", "uid", "docs", "tasks", "rep", "rep_hash")
-    own = lambda rep, of: hashed["text_hash"].eqNullSafe(of) & hashed["doc_id"].eqNullSafe(rep)
-    if members.count() <= BROADCAST_IDS:  # only candidates' texts are shuffled
-        hashed = hashed.join(F.broadcast(members.select(F.col("rep").alias("r"), F.col("rep_hash").alias("h"))), own(F.col("r"), F.col("h")), "left_semi")
-    texts = hashed.join(wanted, own(wanted["rep"], wanted["rep_hash"])).select("doc_id", "text", "cluster", "chunk", "uid", "docs", "tasks")
-    sets = texts.mapInArrow(set_maker(width), SETS)
-    dealt = sets.repartition(dealt_n, "cluster", "c1", "c2").sortWithinPartitions("cluster", "c1", "c2")
-    found = scratch.materialize(dealt.mapInArrow(solver(num, den), FOUND), "set_links")
+    some = may_hold(members.select(F.xxhash64("rep", "rep_hash")))  # few texts but candidates' are shuffled
+    hashed = hashed.where(some(F.xxhash64("doc_id", "text_hash")))
+    texts = hashed.join(wanted, hashed["text_hash"].eqNullSafe(wanted["rep_hash"]) & hashed["doc_id"].eqNullSafe(wanted["rep"])).select("doc_id", "text", "cluster", "chunk", "uid", "docs", "tasks")
+    dealt = texts.mapInArrow(packer(), PACKS).repartition(dealt_n, "cluster", "c1", "c2").sortWithinPartitions("cluster", "c1", "c2")
+    found = scratch.materialize(dealt.mapInArrow(solver(width, num, den), FOUND), "set_links")
     parts = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("l_uid"), "links")
     names = copies.join(parts, copies["uid"] == parts["id"], "left").join(links, copies["uid"] == F.col("l_uid"), "left")

@@ -7,8 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from provena.llm import components, jaccard, neardup, shingles, topk
+from provena.llm import components, jaccard, membership, neardup, shingles, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -248,3 +249,24 @@ def test_near_copies_without_ids_or_under_one_id(spark):
         assert len(rows) == 1500 and {r["n_links"] for r in rows} == {1499}
         assert {r["component_id"] for r in rows} == {{"null": None, "shared": 3}.get(name, 0)}
     assert max(took["null"], took["shared"]) < 3 * took["own"] + 10, took
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 29])
+def test_a_filter_lets_all_its_hashes_through(spark, monkeypatch, most):
+    monkeypatch.setattr(membership, "MAX_BITS", most)
+    some = membership.may_hold(spark.range(0, 20_000).selectExpr("xxhash64(id)"))
+    asked = spark.range(0, 60_000).withColumn("in", some(F.xxhash64("id")))
+    got = {r["own"]: (r["yes"], r["n"]) for r in asked.groupBy((F.col("id") < 20_000).alias("own")).agg(F.count_if("in").alias("yes"), F.count("*").alias("n")).collect()}
+    assert got[True] == (20_000, 20_000)
+    assert got[False][0] < 0.03 * 40_000 or most < 1 << 20
+    assert spark.range(5).where(membership.may_hold(spark.range(0).select("id"))(F.col("id") + 1)).count() == 0
+
+
+def test_a_filter_that_lets_all_through_changes_no_link(spark, monkeypatch):
+    monkeypatch.setattr(membership, "BITS_EACH", 0)
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "PACK_BYTES", 2000)
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in enumerate(_family(rng, [f"w{i}" for i in range(60)], 80, 7) + [f"own{i} text{i} here{i}" for i in range(40)])]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect())
+    assert got == _plain_link(rows, 3, 80, 100)
