@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from provena.llm import batches, scratch
 from provena.llm.shingles import SLICE_BYTES, mix, span_hashes
 
+#: Labelled rows of either class that fit() takes, at most, unless it is told otherwise.
 MAX_TOXIC = 1000
 MAX_CLEAN = 2000
 #: Terms of all examples together; examples beyond that, in order of hash, are left out.
@@ -309,9 +310,11 @@ def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches.trim()
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS) -> Index:
     """Learn from (doc_id, text) and (doc_id, toxic); held-out, null and unknown labels are left out.
 
+    At most ``max_toxic`` and ``max_clean`` rows of the two classes are examples, of at most
+    ``max_terms`` terms together; the index, which every task holds, grows with them.
     An id with several labels counts as toxic if any says so; of several texts with one id the
     smallest is the example. Null texts are none. Without labels of both classes the index only
     knows the prior. Ties of the sampling hash go to the smaller id.
@@ -322,14 +325,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    sample = sample.select(F.col("doc_id").alias("__id"), "toxic")  # at most MAX_TOXIC + MAX_CLEAN rows of two numbers
+    sample = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(max_clean))
+    sample = sample.select(F.col("doc_id").alias("__id"), "toxic")  # at most max_toxic + max_clean rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where("text is not null")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     packed = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(_packed, "doc_id long, toxic int, terms long, keys binary, counts binary")
     packed = scratch.materialize(packed, "toxicity_examples")
     so_far = F.sum("terms").over(W.orderBy(*order))  # a row per example: as few as the sample
-    chosen = packed.select("doc_id", so_far.alias("so_far"), *order[:1]).where(F.col("so_far") <= MAX_TERMS).select(F.col("doc_id").alias("__id"))
+    chosen = packed.select("doc_id", so_far.alias("so_far"), *order[:1]).where(F.col("so_far") <= max_terms).select(F.col("doc_id").alias("__id"))
     found = packed.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id").orderBy("doc_id").toArrow()
     bags = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<i4")) for k, c in zip(found.column("keys").to_pylist(), found.column("counts").to_pylist(), strict=True)]
     ys = found.column("toxic").to_pylist()
@@ -405,10 +408,10 @@ def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = Fa
     return docs.withColumn(held, scored(F.col(f"`{text}`"))).select(*keep, *[F.col(f"`{held}`")[c].alias(name) for name, c in new.items()])
 
 
-def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity, with its nearest labelled examples."""
+def op10_toxicity(spark: SparkSession, sf_dir: str, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS) -> DataFrame:
+    """Every document's toxicity, with its nearest labelled examples. The bounds are those of fit()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"), max_toxic, max_clean, max_terms)
     out = score(docs, index, evidence=True)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.slice("evidence", 1, SHOWN).alias("evidence"))
 

@@ -325,3 +325,11 @@ def test_nested_blocks_take_linear_time():
         took.append(time.time() - began)
         assert len(spans) > n // 4
     assert took[1] < 12 * took[0] + 1 and took[1] < 10
+
+
+def test_bounds_of_examples_are_arguments(spark):
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words number{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
+    assert np.bincount(toxicity.fit(docs, labels, 3, 4).labels, minlength=2).tolist() == [4, 3]
+    assert len(toxicity.fit(docs, labels, 3, 4, max_terms=1).ids) == 0
