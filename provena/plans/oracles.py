@@ -327,6 +327,7 @@ ORACLE_SQL |= {
     "font_family_norm": _with(["spans"], r"SELECT font, lower(regexp_replace(regexp_replace(font, '^[A-Z]{6}\+', ''), '([-_, ]?(bold|italic|oblique|black|semibold|demi|medium|light|regular|roman|mt|ps))+$', '', 'i')) AS family, count(*) AS n_spans FROM spans GROUP BY ALL"),
     "box_union": _with(["tok"], "SELECT doc_id, page, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1)::INT AS line_no, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM tok GROUP BY doc_id, page, tok.line_no"),
     "robust_z": _with(["ela_z"], "SELECT doc_id, word_no, round(0.6745 * (ela - med) / coalesce(nullif(median(abs(ela - med)) OVER (PARTITION BY doc_id, page), 0), 1e-6), 5) AS z, med AS median, n FROM (SELECT *, median(ela) OVER (PARTITION BY doc_id, page) AS med, count(*) OVER (PARTITION BY doc_id, page) AS n FROM ela_scores)"),
+    "robust_z_corpus": _with(["ela_scores"], "SELECT doc_id, page, word_no, round(0.6745 * (ela - median) / coalesce(nullif(median(abs(ela - median)) OVER (PARTITION BY page), 0), 1e-6), 5) AS z, median, n FROM (SELECT *, median(ela) OVER (PARTITION BY page) AS median, count(*) OVER (PARTITION BY page) AS n FROM ela_scores)"),
     "line_grouping": _with(
         ["placed"],
         """SELECT doc_id, page, word_no, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY top, grp) - 1)::INT AS line_no, (row_number() OVER (PARTITION BY doc_id, page, grp ORDER BY x, i) - 1)::INT AS pos, text

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import scalars as S
-from provena.functions.stats import with_robust_z
+from provena.functions.stats import with_robust_z, with_split_robust_z
 from provena.operators import fonts, layout, lines, metadata, patches, photo, rules, text_layer, totals, verdict
 from provena.plans import report
 from provena.sources import files
@@ -147,6 +147,13 @@ def robust_z(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", "word_no", F.round("z", 5).alias("z"), "median", "n")
 
 
+@query
+def robust_z_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Error levels against those of all documents' pages of one number: few groups, and one holds nearly all rows."""
+    df = with_split_robust_z(view(spark, sf, "ela_scores"), "ela", ["page"], heavy=10_000)
+    return df.select("doc_id", "page", "word_no", F.round("z", 5).alias("z"), "median", "n")
+
+
 @query
 def robust_z_heights(spark: SparkSession, sf: str) -> DataFrame:
     return flat(layout.odd_heights(view(spark, sf, "words")))

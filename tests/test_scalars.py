@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.functions import scalars as S
-from provena.functions.stats import with_first_seen_mode, with_robust_z
+from provena.functions.stats import group_medians, with_first_seen_mode, with_robust_z, with_split_robust_z
 
 
 def each(spark, values, f, kind="string"):
@@ -81,3 +81,41 @@ def test_first_seen_mode(spark):
     rows = [(1, 0, 5), (1, 1, 3), (1, 2, 3), (1, 3, 5), (2, 0, 9), (2, 1, 8), (2, 2, 8)]
     got = {r["g"]: r["common"] for r in with_first_seen_mode(spark.createDataFrame(rows, "g int, i int, v int"), "v", ["i"], ["g"]).collect()}
     assert got == {1: 5, 2: 8}
+
+
+def _two_ways(spark, rows, keys="g"):
+    df = spark.createDataFrame(rows, "g int, i int, v double")
+    one = {(r["g"], r["i"]): r for r in with_robust_z(df, "v", [keys]).collect()}
+    two = {(r["g"], r["i"]): r for r in with_split_robust_z(df, "v", [keys], heavy=20, few=4).collect()}
+    assert one.keys() == two.keys() and len(one) == len(rows)
+    for k, r in one.items():
+        assert repr((r["median"], r["n"], r["z"])) == repr((two[k]["median"], two[k]["n"], two[k]["z"])), k
+
+
+def test_split_groups_have_the_same_robust_z(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1 if i % 3 else None, i, float(v)) for i, v in enumerate(rng.normal(0, 1e3, 4001))]  # two large groups, one of null keys
+    rows += [(2, i, float(2.0 ** (-i % 1000))) for i in range(1200)]  # values that no even bins tell apart
+    rows += [(3, i, float(v)) for i, v in enumerate(rng.integers(0, 3, 500))] + [(4, 0, 5.0), (4, 1, None), (5, 0, None)]
+    rows += [(6, i, float(v)) for i, v in enumerate(rng.integers(-40, 40, 600))]
+    _two_ways(spark, rows)
+
+
+def test_medians_of_extreme_values(spark):
+    inf, nan, most = float("inf"), float("nan"), 1.7976931348623157e308
+    held = {
+        1: [-inf] * 3 + [inf] * 3 + [float(x) for x in range(50)],
+        2: [most, -most, 5e-324, -5e-324, 0.0, 1e-323] * 5 + [float(x) for x in range(-30, 30)],
+        3: [nan] * 40 + [float(x) for x in range(30)],
+        4: [inf] * 60 + [float(x) for x in range(30)],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in held.items() for x in xs], "g int, v double")
+    one = {r["g"]: repr(r["m"]) for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert {r["g"]: repr(r["median"]) for r in group_medians(df, "v", ["g"], heavy=5, few=2).collect()} == one
+
+
+def test_split_robust_z_of_nothing_and_of_one_group_without_keys(spark):
+    none = spark.createDataFrame([], "g int, i int, v double")
+    assert with_split_robust_z(none, "v", ["g"]).collect() == []
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    assert {(r["median"], r["n"]) for r in with_split_robust_z(df, "v", [], heavy=10, few=4).collect()} == {(499.5, 1000)}
