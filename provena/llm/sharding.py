@@ -5,7 +5,8 @@ at the weighted quantile that divides its bytes as its shards divide, until a le
 shard. All nodes of a level are split together: each pass is one aggregation of
 (node, bin) -> bytes, so at most ``2 * n_shards * BINS`` rows reach the driver, whatever the
 table's size. Ties in a dimension are cut along a hash of the row's identity, so one source
-that holds a third of all rows is divided like any other.
+that holds a third of all rows is divided like any other; rows of one identity are told apart by
+where they lie in the table.
 """
 
 from __future__ import annotations
@@ -38,6 +39,16 @@ def number(c: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d), F.lit(-1.0)).otherwise(d)
 
 
+def _tie(identity: list[Column]) -> Column:
+    """A double in [0, 1): 33 bits of a hash of the row's identity, then 20 of one of its place in the table.
+
+    Rows of different identities keep their order however the table is read; equal rows can be cut apart.
+    """
+    own = F.shiftrightunsigned(F.xxhash64(*identity), 31)
+    place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 44)
+    return F.shiftleft(own, 20).bitwiseOR(place).cast("double") / F.lit(float(2**53))
+
+
 def _bin(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi > lo, F.least(F.lit(BINS - 1), F.floor((x - lo) / (hi - lo) * BINS).cast("int"))).otherwise(0)
 
@@ -135,17 +146,17 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], size: Column, identity: li
     """``df`` with columns ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in a shard).
 
     Give ``n_shards``, or ``target_bytes`` of a leaf. Every row goes to one shard: null values
-    of a dimension sort before all others, repeated rows are rows of their own (equal ones may
-    be cut apart only by where their identity's hash lies, so equal identities stay together),
-    an empty table gives no rows; columns named shard and slot are replaced. ``df`` is read once: its columns, sizes and dimensions are
-    written to the shared folder, so pass narrow columns, not texts.
+    of a dimension sort before all others, repeated rows are rows of their own and are cut apart
+    like others, an empty table gives no rows; columns named shard and slot are replaced. ``df`` is
+    read once: its columns, sizes and dimensions are written to the shared folder, so pass narrow
+    columns, not texts.
     """
     names = [f"__d{i}" for i in range(len(dims))]
     df = df.drop("shard", "slot")
     base = df.select(
         *[F.col(f"`{c}`") for c in df.columns],
         size.cast("long").alias("__size"),
-        F.shiftrightunsigned(F.xxhash64(*identity), 11).cast("double").__truediv__(float(2**53)).alias("__tie"),
+        _tie(identity).alias("__tie"),
         *[c.alias(n) for n, c in zip(names, dims.values(), strict=True)],
     )
     base = scratch.materialize(base.withColumn("__node", F.lit(0)), "kd_base")

@@ -35,8 +35,10 @@ def test_shards_hold_near_equal_bytes_and_gapless_slots(spark):
 
 def test_shards_of_ties_repeats_and_nothing(spark):
     assert _shards(spark, [], 5) == []
-    same = _shards(spark, [(1, 10, "a", "b")] * 30, 4)
-    assert len(same) == 30 and len({r["shard"] for r in same}) == 1
+    same = defaultdict(list)
+    for r in _shards(spark, [(1, 10, "a", "b")] * 4000 + [(None, 10, None, None)] * 4000, 4):
+        same[r["shard"]].append(r["slot"])
+    assert sorted(same) == [0, 1, 2, 3] and all(abs(len(v) - 2000) <= 20 and sorted(v) == list(range(len(v))) for v in same.values())
     tied = _shards(spark, [(i, 10, "a", "b") for i in range(400)], 4)
     counts = defaultdict(int)
     for r in tied:
@@ -44,6 +46,32 @@ def test_shards_of_ties_repeats_and_nothing(spark):
     assert sorted(counts) == [0, 1, 2, 3] and max(counts.values()) - min(counts.values()) <= 8
 
 
+def _check_cuts(rows, dims, widths, first, n):
+    """Each node's two sides lie apart along its widest dimension, and share its bytes as its shards are shared."""
+    if n == 1 or len(rows) < 2:
+        return
+    spread = [(max(r[d] for r in rows) - min(r[d] for r in rows)) / (widths[d] or 1.0) for d in dims]
+    d = dims[max(range(len(dims)), key=lambda i: (spread[i], -i))]
+    left, right = ([r for r in rows if (r["shard"] < first + n // 2) == side] for side in (True, False))
+    total = sum(r["size"] for r in rows)
+    assert abs(sum(r["size"] for r in left) - total * (n // 2) / n) <= max(r["size"] for r in rows) + total / n * sharding.TOLERANCE
+    assert not left or not right or max(r[d] for r in left) <= min(r[d] for r in right)
+    _check_cuts(left, dims, widths, first, n // 2)
+    _check_cuts(right, dims, widths, first + n // 2, n - n // 2)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cuts_are_those_of_a_tree_over_the_widest_dimensions(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randint(1, 900), rng.choice([0.0, 1.0, rng.random()]), rng.gauss(0, 1) ** 3) for i in range(3000)] + [(7, 500, 1.0, 0.5)] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, size long, a double, b double")
+    dims = ["a", "b"]
+    out = sharding.kd_shards(df, {d: F.col(d) for d in dims}, F.col("size"), [F.col("doc_id")], 11)
+    got = [r.asDict() for r in out.collect()]
+    assert len(got) == len(rows)
+    _check_cuts(got, dims, {d: max(r[d] for r in got) - min(r[d] for r in got) for d in dims}, 0, 11)
+
+
 def test_target_bytes_sets_the_number_of_leaves(spark):
     df = spark.createDataFrame([(i, 100) for i in range(100)], "doc_id long, size long")
     out = sharding.kd_shards(df, {"d": sharding.number(F.col("doc_id"))}, F.col("size"), [F.col("doc_id")], target_bytes=2500)
