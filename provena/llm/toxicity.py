@@ -164,6 +164,7 @@ class Index:
         """This index on all workers; sent once in an application."""
         if not self._sent or self._sent[0] != spark.sparkContext.applicationId:
             self._sent[:] = [spark.sparkContext.applicationId, spark.sparkContext.broadcast(self)]
+            batches.trim()  # what pickling held
         return self._sent[1]
 
     def vector(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,26 +263,35 @@ def build(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: lis
     """An index of examples given as sorted term hashes and counts."""
     y = np.array(labels, np.int64)
     sizes = np.array([len(k) for k, _ in bags], np.int64)
-    keys, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in bags]]), return_inverse=True)
-    example = np.repeat(np.arange(len(bags)), sizes)
+    # The driver builds this, so columns are as narrow as they can be, and few are held at once.
+    keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in bags]])
+    keys.sort()
+    keys = keys[np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])]
+    term = np.concatenate([np.zeros(0, np.int32), *[np.searchsorted(keys, k).astype(np.int32) for k, _ in bags]])
+    example = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     df = np.bincount(term, minlength=len(keys))
     toxic = np.bincount(term[y[example] == 1], minlength=len(keys))
     factors = (np.log((1 + len(y)) / (1 + df)) + 1) * contrast(toxic, df - toxic, n1, n0)
-    weight = (1 + np.log(np.concatenate([np.zeros(0, np.int64), *[c for _, c in bags]]))) * factors[term]
-    length = np.sqrt(np.bincount(example, weights=weight * weight, minlength=len(bags)))
-    weight /= np.maximum(length, 1e-300)[example]
-    # Examples with the same heaviest term are neighbours.
-    heaviest = np.zeros(len(bags), np.int64)
-    by = np.lexsort((weight, example))
+    weight = np.concatenate([np.zeros(0), *[c for _, c in bags]])
+    np.log(weight, out=weight)
+    weight += 1
     ends = np.cumsum(sizes)
-    heaviest[sizes > 0] = term[by[ends[sizes > 0] - 1]]
+    heaviest = np.zeros(len(bags), np.int64)
+    for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+        own = weight[a:b]
+        own *= factors[term[a:b]]
+        own /= max(np.sqrt(np.bincount(np.zeros(b - a, np.int8), weights=own * own, minlength=1)[0]), 1e-300)
+        if b > a:
+            heaviest[i] = term[b - 1 - np.argmax(own[::-1])]
+    # Examples with the same heaviest term are neighbours.
     order = np.lexsort((np.array(ids, np.int64), heaviest))
-    place = np.empty(len(bags), np.int64)
+    place = np.empty(len(bags), np.int32)
     place[order] = np.arange(len(bags))
-    example = place[example]
+    example, weight = place[example], weight.astype(np.float32)
     by = np.lexsort((example, term))
-    term, example, weight = term[by], example[by], weight[by].astype(np.float32)
+    term, example, weight = term[by], example[by], weight[by]
+    del by
     common = df > COMMON * len(bags)
     row = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
     often = common[term]
@@ -334,13 +344,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     so_far = F.sum("terms").over(W.orderBy(*order))  # a row per example: as few as the sample
     chosen = packed.select("doc_id", so_far.alias("so_far"), *order[:1]).where(F.col("so_far") <= max_terms).select(F.col("doc_id").alias("__id"))
     found = packed.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id").orderBy("doc_id").toArrow()
-    bags = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<i4")) for k, c in zip(found.column("keys").to_pylist(), found.column("counts").to_pylist(), strict=True)]
+    bags = [(np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(c.as_buffer(), "<i4")) for k, c in zip(found.column("keys"), found.column("counts"), strict=True)]  # no copies
     ys = found.column("toxic").to_pylist()
     if len(set(ys)) < 2:
         return build([], [], [], prior)
     index = build(bags, ys, found.column("doc_id").to_pylist(), prior)
     del found, bags
     batches.trim()
+    pa.default_memory_pool().release_unused()
     index.curve = _calibrated(index, packed, counts)
     scratch.drop(packed)
     return index

@@ -333,3 +333,16 @@ def test_bounds_of_examples_are_arguments(spark):
     labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic")
     assert np.bincount(toxicity.fit(docs, labels, 3, 4).labels, minlength=2).tolist() == [4, 3]
     assert len(toxicity.fit(docs, labels, 3, 4, max_terms=1).ids) == 0
+
+
+def test_building_the_toxicity_index_holds_few_columns():
+    """The driver builds it: 70 bytes a term before, 50 now."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    keys = [np.unique(r.integers(0, 200_000, 2000).astype(np.uint64)) for _ in range(300)]
+    tracemalloc.start()
+    toxicity.build([(k, np.ones(len(k), np.int32)) for k in keys], [i % 2 for i in range(300)], list(range(300)), 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(map(len, keys))
