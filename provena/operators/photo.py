@@ -28,11 +28,15 @@ def ai_label(labels: Column) -> Column:
     return F.try_element_at(F.filter(labels, lambda v: F.lower(v).rlike("ai|fake|synthetic")), F.lit(1))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; a lambda works out what it names from outside anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
     """Shares of an array of doubles."""
-    e = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    shares = lambda e: _once(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total))
+    return _once(F.array_max(logits), lambda top: _once(F.transform(logits, lambda v: F.exp(v - top)), shares))
 
 
 def label_score(results: Column, label: Column) -> Column:
