@@ -22,6 +22,8 @@ NUMBER = r"[$₹€£]?\d[\d,.]*%?"
 KEYWORD = r"(?i)\A(?:grand|total|sub-?total|gst|cgst|sgst|igst|vat|tax|discount|net|balance)\z"
 NO_ITEM = r"(?i)phone|tel\b|mob|gstin|cin\b|@|pin\b|invoice\s*(no|date)|due\s*date|\bdate\b"
 TRIMMED = ".,;:()[]|"
+#: What a name of a font ends with beside its family.
+STYLE = "bold|italic|oblique|black|semibold|demi|medium|light|regular|roman|mt|ps"
 
 
 def full(c: Column, pattern: str) -> Column:
@@ -74,11 +76,13 @@ def scaled_extent(x0: Column, y0: Column, x1: Column, y1: Column, scale: Column)
 def font_family(c: Column) -> Column:
     """Lower-case family: no subset prefix, no trailing weights and styles."""
     name = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[A-Z]{6}\+", "")
-    return F.lower(F.regexp_replace(name, r"(?i)([-_, ]?(bold|italic|oblique|black|semibold|demi|medium|light|regular|roman|mt|ps))+\z", ""))
+    # What no style starts with is passed over at once.
+    return F.lower(F.regexp_replace(name, rf"(?i)(?=[-_, biosdmlrp])(?:[-_, ]?(?:{STYLE}))+\z", ""))
 
 
 def alnum_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]"))
+    """Letters and digits: what is left without all others. regexp_count() would make an array of them."""
+    return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
 def mentions_tool(c: Column) -> Column:
@@ -126,21 +130,22 @@ def token_date(c: Column, swapped: bool = False) -> Column:
 
 def looks_alike(c: Column) -> Column:
     """Letters that look like digits among at least as many digits."""
-    digits, letters = F.regexp_count(c, F.lit(r"\d")), F.regexp_count(c, F.lit("[OolISBZ]"))
-    return full(c, r"[\dOolISBZ,.]{3,}") & (digits > 0) & (letters > 0) & (digits * 2 >= F.length(c))
+    # Most tokens have no such letter or no digit: digits are counted in the few that have both.
+    digits = F.length(F.regexp_replace(c, r"\D+", ""))
+    return full(c, r"(?=[\d,.]*[OolISBZ])(?=[OolISBZ,.]*\d)[\dOolISBZ,.]{3,}") & (digits * 2 >= F.length(c))
 
 
-def bad_thousands(c: Column) -> Column:
-    """A number with commas that stand neither every three digits nor in the Indian manner."""
+def bad_thousands(c: Column, numeric: Column | None = None) -> Column:
+    """A number with commas that stand neither every three digits nor in the Indian manner. ``numeric``: is_numeric(c), where a query has it."""
     core = F.rtrim(F.ltrim(c, F.lit("$₹€£")), F.lit("%"))
     good = full(core, r"\d{1,3}(,\d{3})+(\.\d+)?") | full(core, r"\d{1,2}(,\d{2})+,\d{3}(\.\d+)?")
-    return F.contains(c, F.lit(",")) & is_numeric(c) & (F.length(c) >= 5) & ~good
+    return F.contains(c, F.lit(",")) & (is_numeric(c) if numeric is None else numeric) & (F.length(c) >= 5) & ~good
 
 
-def decimals(c: Column) -> Column:
-    """Decimal places of a numeric token with a dot, else null."""
+def decimals(c: Column, numeric: Column | None = None) -> Column:
+    """Decimal places of a numeric token with a dot, else null. ``numeric``: is_numeric(c), where a query has it."""
     last = F.substring_index(F.rtrim(c, F.lit("%")), ".", -1)
-    return F.when(is_numeric(c) & F.contains(c, F.lit(".")), F.length(last))
+    return F.when((is_numeric(c) if numeric is None else numeric) & F.contains(c, F.lit(".")), F.length(last))
 
 
 def money_text(c: Column) -> Column:
