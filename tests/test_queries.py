@@ -38,6 +38,19 @@ def test_query_equals_its_sql(spark, duck, name):
     assert len(got) > 0 and _plain(got) == _plain(want)
 
 
+@pytest.mark.parametrize("name", ["token_classify", "ela_outliers", "invoice_totals"])
+def test_items_and_orders_that_do_not_meet(spark, tmp_path, name):
+    """Items without an order or its number, orders without items, orders twice."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN l_orderkey % 5 <> 0 THEN l_orderkey END AS l_orderkey) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS o_orderkey) FROM '{SF}/orders.parquet' WHERE o_orderkey % 7 <> 0 UNION ALL SELECT * FROM '{SF}/orders.parquet' WHERE o_orderkey % 13 = 0) TO '{tmp_path}/orders.parquet'")
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(ORACLE_SQL[name]).df()
+    assert len(got) > 0 and _plain(got) == _plain(want)
+
+
 def test_every_query_is_registered():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
     assert set(QUERIES) == set(ORACLE_SQL)
