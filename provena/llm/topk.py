@@ -2,8 +2,9 @@
 
 Candidates are packed into tiles of TILE_ROWS rows and queries into blocks of BLOCK_ROWS rows.
 Each tile carries one salt and each block goes to every salt, so an equi-join on the salt
-brings each tile and block together once; Spark broadcasts the blocks only while they are
-under its size threshold. A task multiplies matrices, selects the best of each tile and merges
+brings each tile and block together once. The join is shuffled at every size: Spark's estimate
+doesn't count the blocks' copies, and a broadcast of these passes through the driver. A task
+multiplies matrices, selects the best of each tile and merges
 them with what it has; two windows merge the tasks' lists.
 """
 
@@ -166,7 +167,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     blocks = asked.mapInArrow(packer(BLOCK_ROWS, 1), PACKED).select(
         F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("wide").alias("q_wide"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt")
     )
-    pairs = tiles.join(blocks, (tiles["salt"] == blocks["q_salt"]) & (tiles["dim"] == blocks["q_dim"])).select("dim", "ids", "wide", "cells", "q_ids", "q_wide", "q_cells")
+    pairs = tiles.join(blocks.hint("shuffle_merge"), (tiles["salt"] == blocks["q_salt"]) & (tiles["dim"] == blocks["q_dim"])).select("dim", "ids", "wide", "cells", "q_ids", "q_wide", "q_cells")
     lists = pairs.mapInArrow(scorer(k), "query_id long, vec_id long, score long, part int")
     order = [F.col("score").desc(), F.col("vec_id")]
     some = lists.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)

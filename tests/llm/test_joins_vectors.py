@@ -206,6 +206,15 @@ def test_planted_pairs_in_a_label_larger_than_the_default_block(spark, shift):
     assert _recall(spark, np.concatenate([base, near]) + shift * rng.standard_normal(64) / 8) > 0.98
 
 
+def test_top_k_broadcasts_no_blocks(spark):
+    """Each block goes to every salt; a broadcast would carry all these copies through the driver, however large Spark's threshold."""
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i).cast("float")).alias("embedding"))
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), 3)
+    assert got.count() == 12
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_top_k_equals_plain_ranking(spark, monkeypatch):
     monkeypatch.setattr(topk, "TILE_ROWS", 16)
     rng = np.random.default_rng(3)
